@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from vectide.llm import decontam, exact, jaccard, language, mixing, ppm
+from vectide.llm import decontam, exact, jaccard, language, mixing, ppm, toxicity
 
-MODULES = (exact, jaccard, mixing, decontam, language, ppm)
+MODULES = (exact, toxicity, jaccard, mixing, decontam, language, ppm)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
