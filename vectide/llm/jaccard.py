@@ -8,11 +8,13 @@ threshold meet in a list:
   so a set with fewer repeated hashes in that block is skipped whole;
 * of the repeated ones, rarest first, all but the last ``f - 1`` are posted.
 
-Within lists, answers come from similar sets' answers. Round 1 compares each set with one pivot of each of
-its lists and attaches it to the nearest. Round 2 compares the centres that meet in lists. Round 3 compares
-members of different stars only where the triangle inequality of Jaccard distance leaves a link possible,
-and never inside a component that is already joined. So a group of copies costs one comparison a copy and
-list pivot, not one a pair, and no link between different sets that would change a component is lost.
+Within lists, answers come from a similar set's answers. Each set refers to the most central set that it
+meets (the one with the largest share of repeated hashes) and is compared with it once, which also gives its
+delta: the hashes that only one of the two has. Two sets of one reference differ exactly where their deltas
+differ, so if one of them doesn't link to the reference they can only link by sharing enough of their deltas:
+those are indexed in turn, rarest part first, and meeting pairs are compared. Sets of different references
+that meet in a list and aren't in one component yet are compared last. So a group of copies costs one
+comparison a copy, not one a pair, and no link that would change a component is lost.
 """
 
 from __future__ import annotations
@@ -95,24 +97,45 @@ def _whole_sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "n", "members"])
 
 
-def _overlaps(batches):
-    for batch in batches:
-        out = []
-        for x, y in zip(batch.column("members_a"), batch.column("members_b"), strict=True):
-            both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
-            both.sort()
-            out.append(int(np.count_nonzero(both[1:] == both[:-1])))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n_a"), batch.column("n_b"), pa.array(out, pa.int64())], ["a", "b", "n_a", "n_b", "common"])
-
-
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact overlap of each pair (a, b): adds n_a, n_b, common, far (Jaccard distance) and linked."""
+def _overlaps(deltas: bool):
+    def run(batches):
+        for batch in batches:
+            common, apart = [], []
+            for x, y in zip(batch.column("members_a"), batch.column("members_b"), strict=True):
+                both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
+                both.sort()
+                same = both[1:] == both[:-1]
+                common.append(int(np.count_nonzero(same)))
+                if deltas:
+                    once = np.ones(len(both), bool)
+                    once[1:] &= ~same
+                    once[:-1] &= ~same
+                    apart.append(both[once].view(np.int64))
+            columns = {k: batch.column(k) for k in ("a", "b", "n_a", "n_b")} | {"common": pa.array(common, pa.int64())}
+            if deltas:
+                edges = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in apart])]).astype(np.int32))
+                columns["delta"] = pa.ListArray.from_arrays(edges, pa.array(np.concatenate(apart) if apart else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, deltas: bool) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("members").alias("members_a"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("members").alias("members_b"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "members_a", "members_b")
-    found = in_arrow(met, _overlaps, "a long, b long, n_a long, n_b long, common long")
-    union = F.col("n_a") + F.col("n_b") - F.col("common")
-    return found.withColumn("far", 1 - F.col("common") / union).withColumn("linked", F.col("common") * DENOM >= union * NUMER)
+    found = in_arrow(met, _overlaps(deltas), "a long, b long, n_a long, n_b long, common long" + ", delta array<long>" * deltas)
+    return found.withColumn("linked", F.col("common") * DENOM >= (F.col("n_a") + F.col("n_b") - F.col("common")) * NUMER)
+
+
+def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Exact overlap of each pair (a, b): adds n_a, n_b, common and linked."""
+    return _compared(pairs, sets, deltas=False)
+
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``compare``, with ``delta``: the hashes that one of the two sets has."""
+    return _compared(pairs, sets, deltas=True)
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -151,46 +174,48 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame,
     met = low.join(common, "h").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("met"))
     size = group.select(F.col("id").alias("doc_id"), "n")
     least = F.floor(F.ceil(F.col("n") * NUMER / DENOM) / 16) + 1
-    posts = met.join(size, "doc_id").withColumn("take", F.size("met") - least + 1).filter("take > 0")
-    posts = keep(spark, posts.select(F.col("doc_id").alias("id"), "n", F.explode(F.slice("met", F.lit(1), F.col("take").cast("int"))).alias("m")).select("id", "n", F.col("m.h").alias("h")), "posts")
-    lists = posts.groupBy("h").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
-    active = keep(spark, posts.join(lists, "h").select("h", "id", "n", "pivot"), "active")
+    block = F.col("n") - F.ceil(F.col("n") * NUMER / DENOM) + F.floor(F.col("n") / 16) + 1
+    posts = met.join(size, "doc_id").withColumn("take", F.size("met") - least + 1).filter("take > 0").withColumn("c", F.size("met") / block)
+    posts = keep(spark, posts.select(F.col("doc_id").alias("id"), "n", "c", F.explode(F.slice("met", F.lit(1), F.col("take").cast("int"))).alias("m")).select("id", "n", "c", F.col("m.h").alias("h")), "posts")
+    lists = posts.groupBy("h").agg(F.max_by("id", "c").alias("lead"), F.max("c").alias("lead_c"), F.count("*").alias("size")).filter("size > 1")
+    active = keep(spark, posts.join(lists, "h").select("h", "id", "n", "lead", "lead_c"), "active")
     texts = base.join(active.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = keep(spark, in_arrow(texts, _whole_sets, "id long, n long, members binary").dropDuplicates(["id"]), "sets")
 
-    # Round 1: each set against the pivots of its lists.
-    pivots = active.select("pivot").distinct().join(size.withColumnRenamed("doc_id", "pivot"), "pivot").withColumnRenamed("n", "n_p")
-    pairs = active.filter("id <> pivot").select("id", "n", "pivot").distinct().join(pivots, "pivot").filter(_fits("n", "n_p")).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    first = keep(spark, compare(pairs, sets), "compared")
-    links = first.filter("linked")
+    # Round 1: each set against its reference.
+    seen = keep(spark, active.groupBy("id", "n").agg(F.max_by("lead", F.struct("lead_c", "lead")).alias("ref")), "references")
+    delta = keep(spark, differences(seen.filter("id <> ref").select(F.col("id").alias("a"), F.col("ref").alias("b")), sets), "deltas")
+    links = delta.filter("linked").select("a", "b", "n_a", "n_b", "common")
     reached = components(spark, links)
-    nearest = links.groupBy("a").agg(F.min_by(F.struct("b", "far"), F.struct("far", "b")).alias("to"))
-    led = active.select("id", "n").distinct().join(active.select(F.col("pivot").alias("id")).distinct().withColumn("is_pivot", F.lit(True)), "id", "left")
-    star = led.join(nearest.withColumnRenamed("a", "id"), "id", "left").join(reached, "id", "left")
-    own = F.col("is_pivot").isNotNull() | F.col("to").isNull()
-    star = keep(spark, star.select("id", "n", F.when(own, F.col("id")).otherwise(F.col("to.b")).alias("centre"), F.when(own, 0.0).otherwise(F.col("to.far")).alias("off"), F.coalesce("component", "id").alias("component")), "stars")
-
-    # Round 2: centres that meet in a list and aren't joined yet.
-    placed = active.select("h", "id").join(star, "id")
-    mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
-    placed = keep(spark, placed.join(mixed, "h"), "placed")
-    seats = placed.select("h", "centre", "component").distinct()
-    p = seats.select("h", F.col("centre").alias("a"), F.col("component").alias("c_a"))
-    q = seats.select("h", F.col("centre").alias("b"), F.col("component").alias("c_b"))
-    meet = keep(spark, p.join(q, "h").filter("a < b and c_a <> c_b").select("h", "a", "b"), "meetings")
-    second = keep(spark, compare(meet.select("a", "b").distinct(), sets), "compared")
-    more = links.select("a", "b", "n_a", "n_b", "common").union(second.filter("linked").select("a", "b", "n_a", "n_b", "common"))
+
+    # Round 2: sets of one reference, of which at least one doesn't link to it, by their deltas.
+    apart = F.col("n_a") + F.col("n_b") - 2 * F.col("common")
+    star = delta.select(F.col("a").alias("id"), F.col("n_a").alias("n"), F.col("b").alias("ref"), "linked", apart.alias("apart"), "delta").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = delta.groupBy(F.col("b").alias("ref")).agg(F.count("*").alias("size"), F.bool_and("linked").alias("all")).filter("size > 1 and not `all`").select("ref")
+    star = star.join(open_, "ref")
+    part = star.select("ref", "id", F.explode("delta").alias("e"))
+    often = part.groupBy("ref", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    rare = part.join(often, ["ref", "e"]).groupBy("ref", "id").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("met"))
+    floor_ = F.when(F.col("linked"), F.ceil(F.col("apart") * NUMER / (NUMER + DENOM))).otherwise(F.col("apart") - F.floor(F.col("n") * (DENOM - NUMER) / NUMER))
+    posted = rare.join(star.drop("delta"), ["ref", "id"]).withColumn("take", F.size("met") - F.greatest(floor_, F.lit(1)) + 1).filter("take > 0")
+    posted = keep(spark, posted.select("ref", "id", "n", "linked", "apart", "component", F.explode(F.slice("met", F.lit(1), F.col("take").cast("int"))).alias("m")).withColumn("e", F.col("m.e")).drop("m"), "delta-posts")
+    x = posted.filter("not linked").select("ref", "e", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "apart", "component")))
+    y = posted.select("ref", "e", "linked", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "apart", "component")))
+    room = F.abs(F.col("x_apart") - F.col("y_apart")) * (NUMER + DENOM) <= (F.col("x_n") + F.col("y_n")) * (DENOM - NUMER)
+    once = F.col("linked") | (F.col("x_id") < F.col("y_id"))
+    pairs = x.join(y, ["ref", "e"]).filter((F.col("x_id") != F.col("y_id")) & once & (F.col("x_component") != F.col("y_component")) & room & _fits("x_n", "y_n"))
+    second = keep(spark, compare(pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), sets), "compared")
+    more = links.union(second.filter("linked").select("a", "b", "n_a", "n_b", "common"))
     reached = components(spark, more)
 
-    # Round 3: members whose distances to their centres leave room for a link.
-    slack = 1 - NUMER / DENOM + 1e-9
-    near = meet.join(second.select("a", "b", "far").filter(F.col("far") <= 3 * slack), ["a", "b"])
-    seat = placed.select("h", "id", "n", "centre", "off").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    x = seat.select("h", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("centre").alias("a"), F.col("off").alias("off_x"), F.col("component").alias("c_x"))
-    y = seat.select("h", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("centre").alias("b"), F.col("off").alias("off_y"), F.col("component").alias("c_y"))
-    room = near.join(x, ["h", "a"]).filter(F.col("off_x") >= F.col("far") - 2 * slack).join(y, ["h", "b"])
-    room = room.filter((F.col("c_x") != F.col("c_y")) & (F.col("off_x") + F.col("off_y") >= F.col("far") - slack) & _fits("n_x", "n_y") & ((F.col("x") != F.col("a")) | (F.col("y") != F.col("b"))))
-    third = keep(spark, compare(room.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets), "compared")
+    # Round 3: sets of different references that meet in a list.
+    placed = active.select("h", "id", "n").join(seen.select("id", "ref"), "id").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("ref").alias("first"), F.max("ref").alias("last")).filter("lo < hi and first < last").select("h")
+    placed = keep(spark, placed.join(mixed, "h"), "placed")
+    x = placed.select("h", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "ref", "component")))
+    y = placed.select("h", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "ref", "component")))
+    pairs = x.join(y, "h").filter((F.col("x_id") < F.col("y_id")) & (F.col("x_ref") != F.col("y_ref")) & (F.col("x_ref") != F.col("y_id")) & (F.col("y_ref") != F.col("x_id")) & (F.col("x_component") != F.col("y_component")) & _fits("x_n", "y_n"))
+    third = keep(spark, compare(pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), sets), "compared")
     late = third.filter("linked").select("a", "b", "n_a", "n_b", "common")
     if not late.isEmpty():
         more = more.union(late)

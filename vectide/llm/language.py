@@ -119,28 +119,57 @@ def fit(rows: list[tuple[str, str]], idf: np.ndarray, seed: int = 7):
     return langs, w.astype(np.float32), best[1]
 
 
-def _predict(langs, w, idf, temperature):
-    has_letter = r"\p{L}"
-
+def _predictions(model, column) -> tuple[list[str], np.ndarray]:
+    """The language and score of each text of an Arrow column."""
+    langs, w, idf, temperature = model
+    if not langs or not len(column):
+        return [UNKNOWN] * len(column), np.zeros(len(column))
+    s = np.stack([w[:, on] @ _unit(on, c, idf) for on, c in counts(*flat(column))]) / temperature
+    p = np.exp(s - s.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    top = p.argmax(1)
+    lettered = np.asarray(pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False))
+    return [langs[k] if ok else UNKNOWN for k, ok in zip(top, lettered, strict=True)], np.where(lettered, p[np.arange(len(top)), top], 0.0)
+
+
+def _predict(model):
     def run(batches):
         for batch in batches:
-            column = batch.column("text")
-            data, at = flat(column)
-            s = np.stack([w[:, on] @ _unit(on, c, idf) for on, c in counts(data, at)]) / temperature if len(batch) else np.zeros((0, max(1, len(langs))))
-            if langs:
-                p = np.exp(s - s.max(1, keepdims=True)) if len(s) else s
-                p = p / p.sum(1, keepdims=True) if len(s) else p
-                top = p.argmax(1) if len(s) else np.zeros(0, int)
-                lettered = np.asarray(pc.fill_null(pc.match_substring_regex(column, has_letter), False))
-                pred = [langs[k] if ok else UNKNOWN for k, ok in zip(top, lettered, strict=True)]
-                score = np.where(lettered, p[np.arange(len(top)), top], 0.0) if len(s) else np.zeros(0)
-            else:
-                pred, score = [UNKNOWN] * len(batch), np.zeros(len(batch))
+            pred, score = _predictions(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
+def _accept(model, least):
+    def run(batches):
+        for batch in batches:
+            pred, score = _predictions(model, batch.column("text").cast(pa.string()))
+            yield batch.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return run
+
+
+def learn(docs: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE):
+    """(languages, weights, IDF, temperature) from text and non-null lang of rows outside the held-out fold."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = known.filter((fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    total = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not total:
+        return [], np.zeros((1, BUCKETS), np.float32), np.ones(BUCKETS, np.float32), 1.0
+    # The sample: about so many rows of each language by digest, then the least digests of those.
+    share = F.create_map(*(F.lit(v) for lang, n in total.items() for v in (lang, min(1.0, 1.5 * sample / n + 20 / n))))
+    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    by: dict[str, list] = {}
+    for r in sorted(drawn.select("lang", "text", F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: (r["h"], r["lang"], r["text"])):
+        if len(rows := by.setdefault(r["lang"], [])) < sample:
+            rows.append((r["text"], r["lang"]))
+    idf = inverse_frequencies(known).astype(np.float32)
+    mixed = [row for group in zip(*(v * -(-sample // len(v)) for v in by.values()), strict=False) for row in group]
+    langs, w, temperature = fit(mixed, idf)
+    return langs, w, idf, temperature
+
+
 def identify(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE) -> DataFrame:
     """One row per document: (doc_id, held_out, lang_pred, score).
 
@@ -148,24 +177,14 @@ def identify(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held: int
     inputs of a prediction. Null text, and text without a letter, is "und" with score 0, as is everything where
     nothing can be learnt. Repeated rows get the same answer. An empty table gives no rows.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    marked = base.withColumn("held_out", fold(F.col("doc_id"), folds) == held)
-    learn = marked.filter("not held_out and lang is not null and text is not null")
-    total = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if total:
-        share = F.create_map(*(F.lit(v) for lang, n in total.items() for v in (lang, min(1.0, 1.5 * sample / n + 20 / n))))
-        drawn = learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-        rows = drawn.select("lang", "text", F.xxhash64("doc_id").alias("h")).collect()
-        by: dict[str, list] = {}
-        for r in sorted(rows, key=lambda r: (r["h"], r["lang"], r["text"])):
-            if len(kept := by.setdefault(r["lang"], [])) < sample:
-                kept.append((r["text"], r["lang"]))
-        mixed = [row for group in zip(*(v * (-(-sample // len(v))) for v in by.values()), strict=False) for row in group]
-        idf = inverse_frequencies(learn)
-        langs, w, temperature = fit(mixed, idf)
-    else:
-        langs, w, temperature, idf = [], np.zeros((1, BUCKETS), np.float32), 1.0, np.ones(BUCKETS)
-    return in_arrow(marked.select("doc_id", "held_out", "text"), _predict(langs, w, idf.astype(np.float32), temperature), "doc_id long, held_out boolean, lang_pred string, score double")
+    model = learn(docs, folds, held, sample)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), folds) == held).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return in_arrow(base, _predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def accepted(spark: SparkSession, docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The input rows, all columns, whose language is a learnt one with a score of ``least`` or more."""
+    return in_arrow(docs, _accept(learn(docs), least), docs.schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

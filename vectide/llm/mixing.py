@@ -37,8 +37,9 @@ def topic_of(text: Column) -> Column:
 
 
 def _cells(docs: DataFrame) -> DataFrame:
+    """(row, axes, n_tokens): ``row`` holds the input's columns, whatever their names."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(F.col(a).cast("string"), F.lit("unknown")).alias(a) for a in AXES[:2]), topic_of(text).alias("topic"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SPACED)).cast("long").alias("n_tokens"))
+    return docs.select(F.struct("*").alias("row"), *(F.coalesce(F.col(a).cast("string"), F.lit("unknown")).alias(a) for a in AXES[:2]), topic_of(text).alias("topic"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SPACED)).cast("long").alias("n_tokens"))
 
 
 def tempered(cells: DataFrame, axis: str) -> DataFrame:
@@ -83,21 +84,27 @@ def uniform(key: Column, seed: str = SEED) -> Column:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
-    """One row per document: (doc_id, source, lang, topic, n_tokens, weight, p, sampled).
+    """One row per document: (row, source, lang, topic, n_tokens, weight, p, sampled); ``row`` is the input row.
 
     A null source or lang is the value "unknown"; null text is empty, has no tokens and gets its cell's
     probability, or the budget's where the cell has no tokens. Rows that repeat a doc_id share its draw. An
-    empty table gives no rows. Other columns are not looked at.
+    empty table gives no rows. Extra columns stay in ``row`` and clash with nothing.
     """
     rows = _cells(docs)
     cells = keep(spark, rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")), "cells")
     fitted = rake(spark, cells, targets or {a: tempered(cells, a) for a in AXES})
-    rated = keep(spark, calibrated(spark, fitted, budget).select(*AXES, "w", "p"), "rates")
-    return rows.join(rated, list(AXES)).select("doc_id", *AXES, "n_tokens", F.round("w", 6).alias("weight"), F.round("p", 6).alias("p"), (uniform(F.col("doc_id")) < F.round("p", 6)).alias("sampled"))
+    rated = keep(spark, calibrated(spark, fitted, budget).select(*AXES, F.round("w", 6).alias("weight"), F.round("p", 6).alias("p")), "rates")
+    return rows.join(rated, list(AXES)).withColumn("sampled", uniform(F.col("row.doc_id")) < F.col("p"))
+
+
+def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
+    """The sampled input rows, with ``mix_p`` (a column of that name in the input gives way to it)."""
+    picked = mixed(spark, docs, targets, budget).filter("sampled")
+    return picked.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "mix_p"), F.col("p").alias("mix_p"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark, table(spark, sf_dir, "documents"))
+    return mixed(spark, table(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), *AXES, "n_tokens", "weight", "p", "sampled")
 
 
 def _sql() -> str:
