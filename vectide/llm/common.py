@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import functools
-import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from vectide.plans.ship import ship
+from vectide.plans.store import keep, shared_dir
+
+__all__ = ["flat", "in_arrow", "keep", "mix", "shared_dir", "span_hashes", "steps", "table", "words"]
 
 #: Bytes of text that one numpy step handles; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
@@ -23,22 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + os.path.join(tempfile.gettempdir(), "vectide-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def keep(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives a lost executor."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def in_arrow(df: DataFrame, kernel, schema: str) -> DataFrame:
     """``kernel`` over the Arrow batches of ``df``, with this package at hand in the workers."""
     ship(df.sparkSession)
