@@ -129,7 +129,7 @@ def merged(sketches: DataFrame, start: Sketch) -> DataFrame:
         v, w = state.extend(np.stack(pdf["v"].to_numpy()), pdf["w"].to_numpy()).centroids()
         return pd.DataFrame({"id": np.arange(len(w)), "w": w, "v": list(v)})
 
-    return sketches.withColumn("place", F.monotonically_increasing_id()).groupBy(F.lit(0)).applyInPandas(run, CENTROIDS)
+    return sketches.withColumn("place", F.monotonically_increasing_id()).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, CENTROIDS)
 
 
 def streaming_kmeans(points: DataFrame, k: int, shards: int = 8, cutoff: float | None = None, seed: int = 0, **options) -> DataFrame:

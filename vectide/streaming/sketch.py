@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from vectide.operators import cluster
 from vectide.operators.cluster import Sketch
 from vectide.plans.ship import ship
 
@@ -55,6 +58,9 @@ class ShardSketch(StatefulProcessor):
 def streaming_sketches(points: DataFrame, start: dict, shards: int = 8) -> DataFrame:
     """A streaming DataFrame of each shard's sketch after each batch (update mode)."""
     ship(points.sparkSession)
+    # The state runner on the driver starts without the shipped sources: these two modules travel by value.
+    for module in (cluster, sys.modules[__name__]):
+        cloudpickle.register_pickle_by_value(module)
     dealt = points.withColumn("shard", F.pmod("id", F.lit(shards)))
     return dealt.groupBy("shard").transformWithStateInPandas(ShardSketch(start), OUTPUT, "Update", "None")
 
