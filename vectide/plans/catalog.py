@@ -1,7 +1,8 @@
 """Every registered query of the vector, clustering and text operators, with its DuckDB SQL.
 
 Searches take as queries all vectors whose id is divisible by 50, against all vectors. Means and gaps use the
-labels' mean vectors as centroids. Numbers are rounded to nine digits, as sums may differ in the last bits.
+labels' mean vectors as centroids. Numbers are rounded to nine digits, sums over
+words to six, as they may differ in the last bits.
 """
 
 from __future__ import annotations
@@ -558,8 +559,8 @@ def _features_sql(scheme: str, idf: str = "int") -> str:
     weigh = f"w AS (SELECT doc_id, word, {_TERMS[scheme[0]]} AS weight FROM tok)" if scheme[1] == "x" else f"{_DF}, nn AS (SELECT count(*) AS n FROM documents), w AS (SELECT doc_id, word, {_TERMS[scheme[0]]} * {rate} AS weight FROM tok JOIN df USING (word), nn)"
     f = f"f AS (SELECT doc_id, (('0x' || substr(md5(word), 1, 8))::BIGINT % {FEATURES})::INT AS idx, sum(weight) AS val FROM w GROUP BY ALL)"
     if scheme[2] == "c":
-        return f"WITH {_TOK}, {weigh}, {f}, l AS (SELECT doc_id, sqrt(sum(val * val)) AS len FROM f GROUP BY doc_id) SELECT doc_id, idx, round(CASE WHEN len <> 0 THEN val / len END, 9) AS val FROM f JOIN l USING (doc_id)"
-    return f"WITH {_TOK}, {weigh}, {f} SELECT doc_id, idx, round(val, 9) AS val FROM f"
+        return f"WITH {_TOK}, {weigh}, {f}, l AS (SELECT doc_id, sqrt(sum(val * val)) AS len FROM f GROUP BY doc_id) SELECT doc_id, idx, round(CASE WHEN len <> 0 THEN val / len END, 6) AS val FROM f JOIN l USING (doc_id)"
+    return f"WITH {_TOK}, {weigh}, {f} SELECT doc_id, idx, round(val, 6) AS val FROM f"
 
 
 @query(f"WITH {_TOK} SELECT doc_id, word, tf FROM tok")
@@ -574,12 +575,12 @@ def doc_freq(spark, d):
 
 @query(_features_sql("xxx"))
 def hashed_features(spark, d):
-    return text.vectorize(documents(spark, d), "xxx", FEATURES).select("doc_id", "idx", r9("val", "val"))
+    return text.vectorize(documents(spark, d), "xxx", FEATURES).select("doc_id", "idx", F.round("val", 6).alias("val"))
 
 
 def _scheme(scheme: str, idf: str = "int"):
     def run(spark, d):
-        return text.vectorize(documents(spark, d), scheme, FEATURES, idf).select("doc_id", "idx", r9("val", "val"))
+        return text.vectorize(documents(spark, d), scheme, FEATURES, idf).select("doc_id", "idx", F.round("val", 6).alias("val"))
 
     run.__name__ = f"tfidf_{scheme}" + "_float" * (idf == "float")
     query(_features_sql(scheme, idf))(run)
