@@ -5,11 +5,13 @@ representative. A set posts only the rarest part of its lowest hashes, so that a
 threshold meet in a list:
 
 * the block of the lowest ``n - ceil(t n) + f(n)`` hashes of two linked sets shares ``f`` or more positions,
-  so a set with fewer repeated hashes in that block is skipped whole;
-* of the repeated ones, rarest first, all but the last ``f - 1`` are posted.
+  so a set with fewer repeated hashes in that block is skipped whole, before its full set is ever moved;
+* of the rest, a set whose repeated hashes are fewer than the least overlap is skipped too;
+* the others post their repeated hashes, rarest first, but for the last ``ceil(t n) - 1``, each with what is left
+  of the set after it; where two sets first meet, the shorter rest must hold the overlap still missing.
 
 Within lists, answers come from a similar set's answers. Each set refers to the most central set that it
-meets (the one with the largest share of repeated hashes) and is compared with it once, which also gives its
+meets (the one whose repeated hashes are the most frequent on average) and is compared with it once, which also gives its
 delta: the hashes that only one of the two has. Two sets of one reference differ exactly where their deltas
 differ, so if one of them doesn't link to the reference they can only link by sharing enough of their deltas:
 those are indexed in turn, rarest part first, and meeting pairs are compared. Sets of different references
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from vectide.llm.common import LOWER, flat, in_arrow, keep, mix, span_hashes, steps, table, words
 
 WIDTH = 5
+#: Steps from a set to its reference, beyond the first.
+HOPS = 2
 #: The threshold as a fraction of whole numbers, so that no rounding decides a link.
 NUMER, DENOM = 4, 5
 
@@ -75,6 +79,11 @@ def low_length(n: int) -> int:
     return min(n, n - needed(n) + shared(n))
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+
+
 def _sketches(batches):
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -84,9 +93,7 @@ def _sketches(batches):
                 sizes.append(len(found))
                 prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 lows.append(found[: low_length(len(found))].view(np.int64))
-            edges = np.concatenate([[0], np.cumsum([len(x) for x in lows])]).astype(np.int32)
-            low = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(lows) if lows else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), low], ["doc_id", "n", "fp", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), _lists(lows)], ["doc_id", "n", "fp", "low"])
 
 
 def _whole_sets(batches):
@@ -94,7 +101,7 @@ def _whole_sets(batches):
         for batch in batches:
             data, at = flat(batch.column("text"))
             found = list(shingle_sets(data, at))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "n", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), _lists([x.view(np.int64) for x in found])], ["id", "n", "members"])
 
 
 def _overlaps(deltas: bool):
@@ -102,7 +109,7 @@ def _overlaps(deltas: bool):
         for batch in batches:
             common, apart = [], []
             for x, y in zip(batch.column("members_a"), batch.column("members_b"), strict=True):
-                both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
+                both = np.concatenate([x.values.to_numpy(), y.values.to_numpy()])
                 both.sort()
                 same = both[1:] == both[:-1]
                 common.append(int(np.count_nonzero(same)))
@@ -110,11 +117,10 @@ def _overlaps(deltas: bool):
                     once = np.ones(len(both), bool)
                     once[1:] &= ~same
                     once[:-1] &= ~same
-                    apart.append(both[once].view(np.int64))
+                    apart.append(both[once])
             columns = {k: batch.column(k) for k in ("a", "b", "n_a", "n_b")} | {"common": pa.array(common, pa.int64())}
             if deltas:
-                edges = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in apart])]).astype(np.int32))
-                columns["delta"] = pa.ListArray.from_arrays(edges, pa.array(np.concatenate(apart) if apart else np.zeros(0, np.int64)))
+                columns["delta"] = _lists(apart)
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -174,16 +180,29 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame,
     met = low.join(common, "h").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("met"))
     size = group.select(F.col("id").alias("doc_id"), "n")
     least = F.floor(F.ceil(F.col("n") * NUMER / DENOM) / 16) + 1
-    block = F.col("n") - F.ceil(F.col("n") * NUMER / DENOM) + F.floor(F.col("n") / 16) + 1
-    posts = met.join(size, "doc_id").withColumn("take", F.size("met") - least + 1).filter("take > 0").withColumn("c", F.size("met") / block)
-    posts = keep(spark, posts.select(F.col("doc_id").alias("id"), "n", "c", F.explode(F.slice("met", F.lit(1), F.col("take").cast("int"))).alias("m")).select("id", "n", "c", F.col("m.h").alias("h")), "posts")
-    lists = posts.groupBy("h").agg(F.max_by("id", "c").alias("lead"), F.max("c").alias("lead_c"), F.count("*").alias("size")).filter("size > 1")
-    active = keep(spark, posts.join(lists, "h").select("h", "id", "n", "lead", "lead_c"), "active")
-    texts = base.join(active.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = keep(spark, in_arrow(texts, _whole_sets, "id long, n long, members binary").dropDuplicates(["id"]), "sets")
+    likely = low.join(common, "h").groupBy("doc_id").agg(F.count("*").alias("met")).join(size, "doc_id").filter(F.col("met") >= least).select("doc_id")
+    texts = base.join(keep(spark, likely, "likely"), "doc_id", "left_semi")
+    sets = keep(spark, in_arrow(texts, _whole_sets, "id long, n long, members array<long>").dropDuplicates(["id"]), "sets")
+
+    # The likely sets whole: those with too many hashes of their own go, the others post their rarest repeated ones.
+    whole = sets.select("id", F.explode("members").alias("h"))
+    often = whole.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    met = whole.join(often, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("met"))
+    posts = met.join(sets.select("id", "n"), "id").withColumn("take", (F.size("met") - F.ceil(F.col("n") * NUMER / DENOM) + 1).cast("int")).filter("take > 0")
+    posts = posts.withColumn("c", F.aggregate("met", F.lit(0.0), lambda t, m: t + F.log(m["df"])) / F.col("n")).withColumn("last", F.size("met") - 1)
+    posts = posts.select("id", "n", "c", "last", F.posexplode(F.slice("met", F.lit(1), "take")).alias("i", "m")).select("id", "n", "c", (F.col("last") - F.col("i")).alias("rest"), F.col("m.h").alias("h"))
+    posts = keep(spark, posts, "posts")
+    # Ties go to the smallest id in every list alike, so that a group of copies has one reference.
+    lists = posts.groupBy("h").agg(F.max(F.struct("c", -F.col("id"))).alias("lead"), F.count("*").alias("size")).filter("size > 1")
+    active = keep(spark, posts.join(lists, "h").select("h", "id", "n", "rest", "lead"), "active")
 
     # Round 1: each set against its reference.
-    seen = keep(spark, active.groupBy("id", "n").agg(F.max_by("lead", F.struct("lead_c", "lead")).alias("ref")), "references")
+    seen = active.groupBy("id", "n").agg((-F.max("lead")["col2"]).alias("ref"))
+    for _ in range(HOPS):  # the reference's own reference is more central still, so that stars of one group meet
+        seen = keep(spark, seen, "references")
+        up = seen.select(F.col("id").alias("ref"), F.col("ref").alias("higher"))
+        seen = seen.join(up, "ref").select("id", "n", F.col("higher").alias("ref"))
+    seen = keep(spark, seen, "references")
     delta = keep(spark, differences(seen.filter("id <> ref").select(F.col("id").alias("a"), F.col("ref").alias("b")), sets), "deltas")
     links = delta.filter("linked").select("a", "b", "n_a", "n_b", "common")
     reached = components(spark, links)
@@ -198,23 +217,26 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame,
     rare = part.join(often, ["ref", "e"]).groupBy("ref", "id").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("met"))
     floor_ = F.when(F.col("linked"), F.ceil(F.col("apart") * NUMER / (NUMER + DENOM))).otherwise(F.col("apart") - F.floor(F.col("n") * (DENOM - NUMER) / NUMER))
     posted = rare.join(star.drop("delta"), ["ref", "id"]).withColumn("take", F.size("met") - F.greatest(floor_, F.lit(1)) + 1).filter("take > 0")
-    posted = keep(spark, posted.select("ref", "id", "n", "linked", "apart", "component", F.explode(F.slice("met", F.lit(1), F.col("take").cast("int"))).alias("m")).withColumn("e", F.col("m.e")).drop("m"), "delta-posts")
-    x = posted.filter("not linked").select("ref", "e", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "apart", "component")))
-    y = posted.select("ref", "e", "linked", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "apart", "component")))
+    posted = keep(spark, posted.select("ref", "id", "n", "linked", "apart", "component", (F.size("met") - 1).alias("last"), F.posexplode(F.slice("met", F.lit(1), F.col("take").cast("int"))).alias("i", "m")).select("ref", "id", "n", "linked", "apart", "component", (F.col("last") - F.col("i")).alias("rest"), F.col("m.e").alias("e")), "delta-posts")
+    x = posted.filter("not linked").select("ref", "e", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "apart", "rest", "component")))
+    y = posted.select("ref", "e", "linked", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "apart", "rest", "component")))
+    # In the first hash that two deltas share, what is left after it must hold the rest of the overlap they need.
+    enough = 2 * (NUMER + DENOM) * (1 + F.least("x_rest", "y_rest")) >= (NUMER + DENOM) * (F.col("x_apart") + F.col("y_apart")) - (DENOM - NUMER) * (F.col("x_n") + F.col("y_n"))
     room = F.abs(F.col("x_apart") - F.col("y_apart")) * (NUMER + DENOM) <= (F.col("x_n") + F.col("y_n")) * (DENOM - NUMER)
     once = F.col("linked") | (F.col("x_id") < F.col("y_id"))
-    pairs = x.join(y, ["ref", "e"]).filter((F.col("x_id") != F.col("y_id")) & once & (F.col("x_component") != F.col("y_component")) & room & _fits("x_n", "y_n"))
+    pairs = x.join(y, ["ref", "e"]).filter((F.col("x_id") != F.col("y_id")) & once & enough & (F.col("x_component") != F.col("y_component")) & room & _fits("x_n", "y_n"))
     second = keep(spark, compare(pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), sets), "compared")
     more = links.union(second.filter("linked").select("a", "b", "n_a", "n_b", "common"))
     reached = components(spark, more)
 
     # Round 3: sets of different references that meet in a list.
-    placed = active.select("h", "id", "n").join(seen.select("id", "ref"), "id").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = active.select("h", "id", "n", "rest").join(seen.select("id", "ref"), "id").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("ref").alias("first"), F.max("ref").alias("last")).filter("lo < hi and first < last").select("h")
     placed = keep(spark, placed.join(mixed, "h"), "placed")
-    x = placed.select("h", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "ref", "component")))
-    y = placed.select("h", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "ref", "component")))
-    pairs = x.join(y, "h").filter((F.col("x_id") < F.col("y_id")) & (F.col("x_ref") != F.col("y_ref")) & (F.col("x_ref") != F.col("y_id")) & (F.col("y_ref") != F.col("x_id")) & (F.col("x_component") != F.col("y_component")) & _fits("x_n", "y_n"))
+    x = placed.select("h", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "rest", "ref", "component")))
+    y = placed.select("h", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "rest", "ref", "component")))
+    enough = (NUMER + DENOM) * (1 + F.least("x_rest", "y_rest")) >= NUMER * (F.col("x_n") + F.col("y_n"))
+    pairs = x.join(y, "h").filter(enough & (F.col("x_id") < F.col("y_id")) & (F.col("x_ref") != F.col("y_ref")) & (F.col("x_ref") != F.col("y_id")) & (F.col("y_ref") != F.col("x_id")) & (F.col("x_component") != F.col("y_component")) & _fits("x_n", "y_n"))
     third = keep(spark, compare(pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), sets), "compared")
     late = third.filter("linked").select("a", "b", "n_a", "n_b", "common")
     if not late.isEmpty():
