@@ -168,12 +168,21 @@ def _by_row(margin: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.column_stack([top, np.log1p(np.bincount(row[margin > 0], minlength=rows))])
 
 
+def _gathered(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """``segments`` of all rows and their hashes, found a step at a time: tables of powers stay as small as a step."""
+    parts, base = [], 0
+    for i, j in steps(at):
+        codes, starts, ends, row = segments(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        parts.append((codes, starts + base, ends + base, row + i, span_hashes(codes, starts, ends)))
+        base += len(codes)
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
 def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, seed: int = 11):
     """(weights of subsequences, bias, calibration) from labelled texts."""
     rng = np.random.default_rng(seed)
     data, at = flat(pa.array(texts, pa.large_string()))
-    codes, starts, ends, row = segments(data, at)
-    keys = span_hashes(codes, starts, ends)
+    codes, starts, ends, row, keys = _gathered(data, at)
     names, where, which = np.unique(keys, return_index=True, return_inverse=True)
     pairs = np.unique(which.astype(np.int64) * len(texts) + row)
     seg, doc = pairs // len(texts), pairs % len(texts)
