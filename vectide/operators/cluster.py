@@ -169,19 +169,23 @@ def seed_probabilities(points: DataFrame) -> DataFrame:
     return d.select("id", (share / F.lit(2 * total["radius"] * total["weight"])).alias("p")) if total["radius"] else d.select("id", (F.col("w") / F.lit(total["weight"])).alias("p"))
 
 
+def _uniform(seed: int, n: int):
+    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(n), "id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
+
 def seeds(points: DataFrame, k: int, seed: int = 0) -> list[tuple[int, list[float]]]:
     """k seeds: the first by ``seed_probabilities``, each further one in proportion to weight times squared distance to
     the nearest seed. One pass each; a draw keeps the least of -ln(u) / weight, so no task holds all points."""
     got: list[tuple[int, list[float]]] = []
-    draw = lambda df, n: df.filter("p > 0").orderBy(-F.log(F.greatest(F.rand(seed * 7919 + n), F.lit(1e-300))) / F.col("p"), "id").select("id", "v").first()
-    ordered = keep(points.sparkSession, points.repartitionByRange(8, "id").sortWithinPartitions("id"), "seeding")
-    first = draw(ordered.join(seed_probabilities(ordered), "id"), 0)
+    # u depends on (seed, draw, id) alone, whatever the partitioning.
+    draw = lambda df, n: df.filter("p > 0").orderBy(-F.log(F.greatest(_uniform(seed, n), F.lit(1e-300))) / F.col("p"), "id").select("id", "v").first()
+    first = draw(points.join(seed_probabilities(points), "id"), 0)
     while first is not None:
         got.append((first["id"], first["v"]))
         if len(got) == k:
             return got
         near = F.least(*(vec.sq_l2("v", vec.literal(s)) for _, s in got), F.lit(float("inf"))) if len(got) else F.lit(0.0)
-        first = draw(ordered.withColumn("p", F.col("w") * near), len(got))
+        first = draw(points.withColumn("p", F.col("w") * near), len(got))
     raise ValueError(f"{k} distinct points are needed, got {len(got)}")
 
 
