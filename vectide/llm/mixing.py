@@ -7,6 +7,8 @@ over tokens, calibrated so that the expected tokens meet the budget with no prob
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,20 +28,24 @@ AXES = ("source", "lang", "topic")
 #: Fixed topic rules, first match first: (topic, pattern).
 TOPICS = (("legal", "(?i)licen[sc]e|copyright|all rights reserved"), ("contact", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.]|[+][0-9]"), ("figures", "[0-9]{3}"))
 
+#: Rules that are asked by parts: text that lacks a part's sign skips its pattern. The parts together match what the
+#: rule matches; one character before the sign stands for any number of them.
+PARTS = {"contact": (("@", "[A-Za-z0-9._%+-]@[A-Za-z0-9-]+[.]"), ("+", "[+][0-9]"))}
+
 
 def topic_of(text: Column) -> Column:
     """A document's topic by the fixed rules; "prose" where none matches."""
-    out = None
+    out, text = None, F.coalesce(text, F.lit(""))
     for name, pattern in TOPICS:
-        hit = F.coalesce(text, F.lit("")).rlike(pattern)
+        hit = functools.reduce(Column.__or__, (text.contains(sign) & text.rlike(part) for sign, part in PARTS[name])) if name in PARTS else text.rlike(pattern)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("prose")
 
 
-def _cells(docs: DataFrame) -> DataFrame:
-    """(row, axes, n_tokens): ``row`` holds the input's columns, whatever their names."""
+def _cells(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row, axes, n_tokens): ``row`` holds the input's columns, or those in ``carry``, whatever their names."""
     text = F.col("text").cast("string")
-    return docs.select(F.struct("*").alias("row"), *(F.coalesce(F.col(a).cast("string"), F.lit("unknown")).alias(a) for a in AXES[:2]), topic_of(text).alias("topic"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SPACED)).cast("long").alias("n_tokens"))
+    return docs.select(F.struct(*(carry or "*")).alias("row"), *(F.coalesce(F.col(a).cast("string"), F.lit("unknown")).alias(a) for a in AXES[:2]), topic_of(text).alias("topic"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long").alias("n_tokens"))
 
 
 def tempered(cells: DataFrame, axis: str) -> DataFrame:
@@ -83,14 +89,17 @@ def uniform(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mixed(spark: SparkSession, docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
+def mixed(spark: SparkSession, docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: (row, source, lang, topic, n_tokens, weight, p, sampled); ``row`` is the input row.
 
+    Texts are read once: the rows and what is measured of them are written to the shared folder. A caller who
+    needs few of the columns names them in ``carry`` (doc_id among them).
+
     A null source or lang is the value "unknown"; null text is empty, has no tokens and gets its cell's
     probability, or the budget's where the cell has no tokens. Rows that repeat a doc_id share its draw. An
     empty table gives no rows. Extra columns stay in ``row`` and clash with nothing.
     """
-    rows = _cells(docs)
+    rows = keep(spark, _cells(docs, carry), "measured")
     cells = keep(spark, rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")), "cells")
     fitted = rake(spark, cells, targets or {a: tempered(cells, a) for a in AXES})
     rated = keep(spark, calibrated(spark, fitted, budget).select(*AXES, F.round("w", 6).alias("weight"), F.round("p", 6).alias("p")), "rates")
@@ -104,7 +113,7 @@ def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, DataFrame] |
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark, table(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), *AXES, "n_tokens", "weight", "p", "sampled")
+    return mixed(spark, table(spark, sf_dir, "documents"), carry=("doc_id",)).select(F.col("row.doc_id").alias("doc_id"), *AXES, "n_tokens", "weight", "p", "sampled")
 
 
 def _sql() -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of ASCII digits, ASCII lower-case letters and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Runs of anything but white space.
+#: Runs of anything but white space; in Java patterns \S is this very set.
 SPACED = r"[^\x20\x09-\x0D]+"
 
 
