@@ -26,6 +26,29 @@ def test_folded_grams_keep_the_counts(spark):
     assert model.counts[1].sum() == sum(n for _, n in rows)
 
 
+def test_scores_use_all_grams_of_all_blocks(spark, monkeypatch):
+    """Scores are the plain trie's, even where a model bounded to ten grams is all the driver could hold."""
+    bounded = ppm.trained
+    monkeypatch.setattr(ppm, "trained", lambda grams_, most=None: bounded(grams_, most=10))
+    rng = np.random.default_rng(5)
+    letters = [*"abcdeé 漢", "th", "\n"]
+    rows = [(k, "".join(rng.choice(letters, rng.integers(0, 60)))) for k in range(120)] + [(None, "abba"), (121, None), (121, None)]
+    got = ppm.scored(spark, spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=150).collect()
+    text = dict(rows)
+    trie, known = ppm.Trie(), {}
+    for r in got:
+        if not r["held_out"]:
+            trie.train((text[r["doc_id"]] or "").encode().lower())
+            for w in [*(text[r["doc_id"]] or "").split(), None]:
+                known[w] = known.get(w, 0) + 1
+    assert len(got) == len(rows) and any(r["held_out"] for r in got)
+    for r in got:
+        seen = [known.get(w, 0) for w in [*(text[r["doc_id"]] or "").split(), None]]
+        base = np.log10((np.array(seen) + 1) / (sum(known.values()) + len(known) + 1)).sum()
+        assert abs(r["score"] - trie.score((text[r["doc_id"]] or "").encode().lower())) < 1e-6
+        assert (r["n_tokens"], r["n_known"]) == (len(seen), sum(n > 0 for n in seen)) and abs(r["base_score"] - base) < 1e-6
+
+
 def test_scores_of_odd_rows(spark, odd, none):
     got = ppm.scored(spark, odd, block_bytes=1000).collect()
     by = {r["doc_id"]: r for r in got}

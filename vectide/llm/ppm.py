@@ -8,11 +8,16 @@ adaptive or trained; ``Model`` holds the same counts as sorted arrays and scores
 
 The corpus is cut into blocks by a digest of doc_id. A block counts its distinct words and five-byte grams
 once; counts meet in buckets of hashed keys and return to the blocks that asked, so neither a document's
-words nor a hot word ever gather in one task.
+words nor a hot word ever gather in one task. Distinct grams then meet by the last two bytes of their context,
+which decide all that the contexts of two bytes and more know; the shorter contexts' counts (65,536 at most, as
+bytes have 256 values) go to all tasks. Each gram's probability returns the way the word counts do, so no task
+and no driver holds the whole trie, however many grams the corpus has.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +28,6 @@ from vectide.llm.language import fold
 from vectide.plans.ship import ship
 
 ORDER = 4
-#: Node budget of the trained trie: rarer grams fold into shorter contexts where there are more.
-MAX_GRAMS = 4_000_000
 BLOCK_BYTES = 8 << 20
 BLOCKS_A_BUCKET = 8
 FOLDS, HELD = 7, 2
@@ -104,12 +107,17 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 class Model:
     """A trained trie as sorted arrays: for each gram length its grams and counts, for each context its total, its
-    distinct successors, and the mass that these have in the next shorter context."""
+    distinct successors, and the mass that these have in the next shorter context.
+
+    With ``pairs`` (grams of two symbols and their counts in the whole corpus), the other grams may be those of
+    some two-byte context ends alone; the model is then the whole one for grams with these."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None = None):
         self.grams, self.counts, self.contexts = {}, {}, {}
         keys, n = codes, counts.astype(np.int64)
         for size in range(ORDER + 1, 0, -1):
+            if size == 2 and pairs is not None:
+                keys, n = pairs
             keys, n = _sum_by(keys & np.uint64((1 << (8 * size)) - 1), n)
             self.grams[size], self.counts[size] = keys, n
         for size in range(1, ORDER + 2):
@@ -122,7 +130,10 @@ class Model:
                 below = np.zeros(len(g), np.int64)
             total = [np.add.reduceat(x, first) if len(first) else x[:0] for x in (n, np.ones(len(g), np.int64), below)]
             self.contexts[size - 1] = (heads[first], *total)
-        self.known = self.log10_of(self.grams[ORDER + 1])
+
+    @functools.cached_property
+    def known(self) -> np.ndarray:
+        return self.log10_of(self.grams[ORDER + 1])
 
     def _find(self, sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(sorted_keys, keys), max(0, len(sorted_keys) - 1))
@@ -191,6 +202,20 @@ def _block_words(data, at, learns) -> tuple[np.ndarray, np.ndarray]:
     return _sum_by(np.concatenate(keys), np.concatenate(counts))
 
 
+def _block_grams(data, at, learns) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a block, sorted, with their counts in learning rows."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in steps(at):
+        code, bounds = grams(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        taught = np.repeat(learns[i:j], np.diff(bounds))
+        for part, by in ((code[taught], 1), (code[~taught], 0)):
+            part.sort()
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+            keys.append(part[first])
+            counts.append(np.diff(np.append(first, len(part))) * by)
+    return _sum_by(np.concatenate(keys), np.concatenate(counts))
+
+
 def _counting(buckets: int):
     def run(group: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
@@ -198,15 +223,7 @@ def _counting(buckets: int):
             learns = ~np.asarray(group.column("held_out").combine_chunks().to_numpy(zero_copy_only=False), bool)
             block = group.column("block")[0].as_py()
             keys, counts = _block_words(data, at, learns)
-            found_k, found_n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for i, j in steps(at):
-                code, bounds = grams(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                code = code[np.repeat(learns[i:j], np.diff(bounds))]
-                code.sort()
-                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-                found_k.append(code[first])
-                found_n.append(np.diff(np.append(first, len(code))))
-            codes, n = _sum_by(np.concatenate(found_k), np.concatenate(found_n))
+            codes, n = _block_grams(data, at, learns)
         rows = []
         for kind, k, c in (("word", keys, counts), ("gram", codes, n)):
             b = _bucket_of(k, buckets)
@@ -234,7 +251,7 @@ def _answer_words(group: pa.Table) -> pa.Table:
     back = [total[np.searchsorted(known, k)].tobytes() for k in keys]
     n, v = int(total.sum()), int(np.count_nonzero(total))
     first = [i == 0 for i in range(len(keys))]
-    return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "totals": pa.array(back, pa.binary()), "n": pa.array([n * f for f in first], pa.int64()), "v": pa.array([v * f for f in first], pa.int64())})
+    return pa.table({"kind": group.column("kind"), "block": group.column("block"), "bucket": group.column("bucket"), "totals": pa.array(back, pa.binary()), "n": pa.array([n * f for f in first], pa.int64()), "v": pa.array([v * f for f in first], pa.int64())})
 
 
 def _answer_grams(group: pa.Table) -> pa.Table:
@@ -242,8 +259,9 @@ def _answer_grams(group: pa.Table) -> pa.Table:
     return pa.table({"gram": pa.array(known.view(np.int64)), "n": pa.array(total)})
 
 
-def trained(grams_: DataFrame, most: int = MAX_GRAMS) -> Model:
-    """The model of (gram, n) rows. Beyond ``most`` grams the rarest lose the oldest byte of their context, and so on."""
+def trained(grams_: DataFrame, most: int) -> Model:
+    """A bounded model of (gram, n) rows on the driver, for callers that want one; ``scored`` doesn't take it. Beyond
+    ``most`` grams the rarest lose the oldest byte of their context, and so on."""
     bound = grams_.select("gram", "n")
     for k in range(ORDER, 0, -1):
         if bound.count() <= most:
@@ -263,16 +281,51 @@ def trained(grams_: DataFrame, most: int = MAX_GRAMS) -> Model:
     return Model(codes.astype(np.int64).view(np.uint64), counts)
 
 
-def _scoring(model, buckets: int, whole: int, kinds: int):
+def _rating(pairs, buckets: int):
+    """(bucket, gram, value): log10 probability of each gram of a group, which has all grams of its context ends."""
+
+    def run(group: pa.Table) -> pa.Table:
+        with np.errstate(over="ignore"):
+            codes = group.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+            n = group.column("n").to_numpy()
+            values = Model(codes[n > 0], n[n > 0], pairs.value).log10_of(codes)
+            return pa.table({"bucket": _bucket_of(codes, buckets), "gram": codes.view(np.int64), "value": values})
+
+    return run
+
+
+def _answer_values(key, asked: pa.Table, rated: pa.Table) -> pa.Table:
+    """The values of each block's grams of a bucket, in the block's order."""
+    codes, values = rated.column("gram").to_numpy().astype(np.int64).view(np.uint64), rated.column("value").to_numpy()
+    order = np.argsort(codes)
+    codes, values = codes[order], values[order]
+    back = [values[np.searchsorted(codes, np.frombuffer(k.as_buffer(), np.uint64))].tobytes() for k in asked.column("keys")]
+    return pa.table({"kind": pa.array(["gram"] * len(back)), "block": asked.column("block"), "bucket": asked.column("bucket"), "totals": pa.array(back, pa.binary())})
+
+
+def _rated(spark: SparkSession, counted: DataFrame, buckets: int) -> DataFrame:
+    """(kind, block, bucket, totals): for each block the log10 probabilities of its distinct grams, by all learning rows."""
+    mine = counted.filter("kind = 'gram'")
+    known = keep(spark, mine.groupBy("bucket").applyInArrow(_answer_grams, "gram long, n long"), "grams")
+    short = known.filter("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).collect()
+    pairs = spark.sparkContext.broadcast((np.array([r["pair"] for r in short], np.uint64), np.array([r["n"] for r in short], np.int64)))
+    end = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    values = known.groupBy(F.pmod(F.xxhash64(end), F.lit(buckets)).alias("part")).applyInArrow(_rating(pairs, buckets), "bucket long, gram long, value double")
+    return mine.select("bucket", "block", "keys").groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_answer_values, "kind string, block long, bucket long, totals binary")
+
+
+def _scoring(buckets: int, whole: int, kinds: int):
     def run(key, docs: pa.Table, totals: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
             data, at = flat(docs.column("text"))
             held = np.asarray(docs.column("held_out").combine_chunks().to_numpy(zero_copy_only=False), bool)
             keys, _ = _block_words(data, at, ~held)
-            count = np.zeros(len(keys), np.int64)
-            b = _bucket_of(keys, buckets)
-            for bucket, values in zip(totals.column("bucket").to_pylist(), totals.column("totals"), strict=True):
-                count[b == bucket] = np.frombuffer(values.as_buffer(), np.int64)
+            codes, _ = _block_grams(data, at, ~held)
+            count, value = np.zeros(len(keys), np.int64), np.zeros(len(codes))
+            goes = {"word": (count, _bucket_of(keys, buckets)), "gram": (value, _bucket_of(codes, buckets))}
+            for kind, bucket, values in zip(totals.column("kind").to_pylist(), totals.column("bucket").to_pylist(), totals.column("totals"), strict=True):
+                into, b = goes[kind]
+                into[b == bucket] = np.frombuffer(values.as_buffer(), into.dtype)
             logs = np.log10((count + 1) / (whole + kinds + 1))
             size = len(at) - 1
             n_tokens, n_known, base, score = np.ones(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
@@ -287,13 +340,16 @@ def _scoring(model, buckets: int, whole: int, kinds: int):
                 n_known[i:j] += np.bincount(row, weights=count[spot] > 0, minlength=j - i).astype(np.int64)
                 base[i:j] += np.bincount(row, weights=logs[spot], minlength=j - i)
                 code, bounds = grams(piece, at[i : j + 1] - at[i])
-                score[i:j] = np.add.reduceat(model.value.log10_each(code), bounds[:-1])
+                order = np.argsort(code)
+                each = np.empty(len(code))
+                each[order] = value[np.searchsorted(codes, code[order])]
+                score[i:j] = np.add.reduceat(each, bounds[:-1])
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(size, whole), "base_score": base, "score": score})
 
     return run
 
 
-def scored(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held: int = HELD, block_bytes: int = BLOCK_BYTES, most: int = MAX_GRAMS) -> DataFrame:
+def scored(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held: int = HELD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Learns from rows outside the held-out fold and scores all. Null text is empty and has the end alone. Repeated
@@ -307,11 +363,11 @@ def scored(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held: int =
     buckets = -(-blocks // BLOCKS_A_BUCKET)
     dealt = base.withColumn("held_out", fold(F.col("doc_id"), folds) == held).withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("long"))
     counted = keep(spark, dealt.groupBy("block").applyInArrow(_counting(buckets), "kind string, bucket long, block long, keys binary, counts binary"), "counts")
-    totals = keep(spark, counted.filter("kind = 'word'").groupBy("bucket").applyInArrow(_answer_words, "block long, bucket long, totals binary, n long, v long"), "totals")
-    model = trained(keep(spark, counted.filter("kind = 'gram'").groupBy("bucket").applyInArrow(_answer_grams, "gram long, n long"), "grams"), most)
+    answer = "kind string, block long, bucket long, totals binary"
+    totals = keep(spark, counted.filter("kind = 'word'").groupBy("bucket").applyInArrow(_answer_words, f"{answer}, n long, v long"), "totals")
     n, v = (x or 0 for x in totals.agg(F.sum("n"), F.sum("v")).first())
-    shared = spark.sparkContext.broadcast(model)
-    return dealt.groupBy("block").cogroup(totals.select("block", "bucket", "totals").groupBy("block")).applyInArrow(_scoring(shared, buckets, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    back = totals.select("kind", "block", "bucket", "totals").unionByName(_rated(spark, counted, buckets))
+    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scoring(buckets, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
