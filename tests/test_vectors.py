@@ -53,6 +53,15 @@ def test_limits(spark):
         pts.validated(p, 3).collect()
 
 
+def test_expansion_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(60, 5))
+    points, asked = frame(spark, x), queries(spark, x[:40])
+    take = lambda found: sorted((r["query_id"], r["rank"], r["neighbor_id"], round(r["distance"], 9)) for r in found.collect())
+    monkeypatch.setattr(search, "MAX_BROADCAST", 7)
+    got = take(search.expansion(points, asked, 3))
+    assert len(got) == 120 and got == take(search.brute(points, asked, 3, "sqeuclidean", 5))
+
+
 def test_remove_is_strict_and_single(spark):
     p = frame(spark, [[0.0], [1.0], [1.0]])
     assert pts.remove_nearest(p, [0.0], 1.0).count() == 2
