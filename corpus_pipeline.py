@@ -46,7 +46,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples rows so that token shares of source, language and topic meet their targets."""
+    """Samples rows so that token shares of source, language and topic move towards their targets, as far as the budget lets them."""
     return mixing.sample(spark, _named(docs))
 
 

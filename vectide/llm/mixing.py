@@ -2,7 +2,9 @@
 
 Documents fall into cells of (source, language, topic). The cells' token weights are raked to the three
 marginal targets in turn; a document is then sampled with a probability in proportion to its cell's weight
-over tokens, calibrated so that the expected tokens meet the budget with no probability above one.
+over tokens, calibrated so that the expected tokens meet the budget with no probability above one. Cells at
+probability one hold fewer tokens than their weight asks for, so a budget that is large for the targets (as BUDGET
+is on skewed tables) is met and the targets are not; ``weight`` shows the fitted mix, not the sample's.
 """
 
 from __future__ import annotations
