@@ -67,6 +67,15 @@ def test_components_match_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_one_id_on_two_texts_keeps_the_links_of_both(spark):
+    texts = {c: [f"{c}{k}" for k in range(40)] for c in "xy"}
+    near = {c: " ".join([*t[:-1], "z"]) for c, t in texts.items()}
+    rows = [(1, " ".join(texts["x"])), (1, " ".join(texts["y"])), (2, near["x"]), (3, near["y"]), (4, " ".join(texts["y"])), (5, "x0 y0")]
+    documents, links = jaccard.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], r["component_id"]) for r in documents.collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
+    assert sorted(sorted((r["a"], r["b"])) for r in links.collect()) == [[1, 2], [1, 3]]
+
+
 def test_odd_sets(spark, odd, none):
     got = jaccard.jaccard_components(spark, odd)[0].collect()
     by = {r["doc_id"]: r for r in got}

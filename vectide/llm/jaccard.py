@@ -84,6 +84,10 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
 
 
+def _print(members: np.ndarray) -> bytes:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+
+
 def _sketches(batches):
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -91,7 +95,7 @@ def _sketches(batches):
             sizes, prints, lows = [], [], []
             for found in shingle_sets(data, at):
                 sizes.append(len(found))
-                prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                prints.append(_print(found))
                 lows.append(found[: low_length(len(found))].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), _lists(lows)], ["doc_id", "n", "fp", "low"])
 
@@ -101,7 +105,8 @@ def _whole_sets(batches):
         for batch in batches:
             data, at = flat(batch.column("text"))
             found = list(shingle_sets(data, at))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), _lists([x.view(np.int64) for x in found])], ["id", "n", "members"])
+            prints = [_print(x) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in found], pa.int64()), pa.array(prints, pa.binary()), _lists([x.view(np.int64) for x in found])], ["n", "fp", "members"])
 
 
 def _overlaps(deltas: bool):
@@ -165,24 +170,26 @@ def _fits(a: str, b: str):
 
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, links): (doc_id, n_shingles, component_id), and the compared pairs (a, b, n_a, n_b, common) of
-    representatives that linked; components follow from them.
+    representatives that linked, by the least doc_id of each; components follow from them.
 
     Null, empty and wordless texts have no shingles and link with nothing. Equal sets are linked, so repeated
-    rows share a component; rows that repeat a doc_id each keep a row. Rows with a null doc_id give n_shingles
+    rows share a component; rows that repeat a doc_id each keep a row, and where their texts differ each text's links count. Rows with a null doc_id give n_shingles
     and a null component_id unless copies of theirs have ids. An empty table gives no rows. Other columns are
     not looked at.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = keep(spark, in_arrow(base, _sketches, "doc_id long, n long, fp binary, low array<long>"), "sketches")
-    group = keep(spark, sketch.filter("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("id")).filter("id is not null"), "groups")
-    low = sketch.join(group.select(F.col("id").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi").select("doc_id", F.explode("low").alias("h"))
+    # A set's id is its group's own: one doc_id may stand for several texts, and be the least of several groups.
+    group = sketch.filter("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("least")).filter("least is not null")
+    group = keep(spark, group.withColumn("id", F.monotonically_increasing_id()), "groups")
+    low = sketch.join(group.select(F.col("least").alias("doc_id"), "fp", "n", "id"), ["doc_id", "fp", "n"]).select("id", F.explode("low").alias("h"))
     common = low.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    met = low.join(common, "h").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("met"))
-    size = group.select(F.col("id").alias("doc_id"), "n")
     least = F.floor(F.ceil(F.col("n") * NUMER / DENOM) / 16) + 1
-    likely = low.join(common, "h").groupBy("doc_id").agg(F.count("*").alias("met")).join(size, "doc_id").filter(F.col("met") >= least).select("doc_id")
-    texts = base.join(keep(spark, likely, "likely"), "doc_id", "left_semi")
-    sets = keep(spark, in_arrow(texts, _whole_sets, "id long, n long, members array<long>").dropDuplicates(["id"]), "sets")
+    likely = low.join(common, "h").groupBy("id").agg(F.count("*").alias("met")).join(group, "id").filter(F.col("met") >= least).select("id", "fp", "n", "least")
+    likely = keep(spark, likely, "likely")
+    texts = base.join(likely.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
+    sets = in_arrow(texts, _whole_sets, "n long, fp binary, members array<long>").join(likely.select("id", "fp", "n"), ["fp", "n"])
+    sets = keep(spark, sets.dropDuplicates(["fp", "n"]).select("id", "n", "members"), "sets")
 
     # The likely sets whole: those with too many hashes of their own go, the others post their rarest repeated ones.
     whole = sets.select("id", F.explode("members").alias("h"))
@@ -243,8 +250,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame,
         more = more.union(late)
         reached = components(spark, more)
 
-    whole = group.join(reached, "id", "left").select("fp", "n", F.coalesce("component", "id").alias("component_id"))
+    placed = group.join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    whole = placed.join(named, "component").select("fp", "n", "component_id")
     out = sketch.select("doc_id", "n", "fp").join(whole, ["fp", "n"], "left")
+    for end in ("a", "b"):
+        more = more.join(group.select(F.col("id").alias(end), F.col("least").alias(f"doc_{end}")), end).drop(end).withColumnRenamed(f"doc_{end}", end)
+    more = more.select("a", "b", "n_a", "n_b", "common")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), more
 
 
