@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 from vectide.llm import language, pii, ppm, toxicity
@@ -135,6 +137,54 @@ def test_patterns():
     assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.base_spans(text)] == [("email", "a.b+c@d-e.org"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+44 20 7946 0958")]
 
 
+def spans_by_definition(text):
+    """The fixed patterns' spans, character by character."""
+    digit, size = (lambda k: k < len(text) and text[k] in "0123456789"), len(text)
+    out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", text)]
+    runs = [(m.start(), m.end()) for m in re.finditer("[0-9]+", text)]
+    k = 0
+    while k + 3 < len(runs):
+        four = runs[k : k + 4]
+        joined = all(b[0] == a[1] + 1 and text[a[1]] == "." for a, b in zip(four, four[1:]))
+        if joined and all(int(text[a:b]) <= 255 for a, b in four):
+            out.append((1, four[0][0], four[3][1]))
+        k += 4 if joined else 1
+    k = 0
+    while k < size:
+        end = k
+        while digit(k) and (digit(end + 1) or (text[end + 1 : end + 2] in (" ", "-") and digit(end + 2))):
+            end += 1 if digit(end + 1) else 2
+        figures = [int(c) for c in text[k : end + 1] if digit(k) and c not in " -"]
+        check = sum(figures[-1::-2]) + sum(sum(divmod(2 * d, 10)) for d in figures[-2::-2])
+        if 13 <= len(figures) <= 19 and check % 10 == 0:
+            out.append((2, k, end + 1))
+        k = end + 1
+    k = 0
+    while k < size:
+        end = k + 2
+        while text[k] == "+" and digit(k + 1) and end < size and text[end] in " ().0123456789-":
+            end += 1
+        while end > k + 3 and not digit(end - 1):
+            end -= 1
+        found = end > k + 3 and digit(end - 1)
+        if found and 9 <= sum(c in "0123456789" for c in text[k:end]) <= 15:
+            out.append((3, k, end))
+        k = end if found else k + 1
+    return out
+
+
+def test_base_spans_match_the_definitions():
+    rng = np.random.default_rng(11)
+    parts = ["a.b@c.org", "x@y", "@", "q%1@d-e.f.g", ".", "10.0.0.1", "1.2.3.256", "001.2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "5500000000000004", "+", "+44 20 7946 0958", "+1 (555) 123-4567", "(", "-", " ", " ", "\n", "é", "word", "7", "42"]
+    seen = set()
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(0, 9)))
+        want = spans_by_definition(text)
+        assert pii.base_spans(text) == want, text
+        seen |= {kind for kind, *_ in want}
+    assert seen == set(range(len(pii.KINDS)))
+
+
 def test_personal_data_of_odd_rows(spark, odd, none):
     got = pii.personal_data(spark, odd).collect()
     assert len(got) == 13 and all(r["base"] == "" for r in got)

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -53,6 +54,19 @@ def test_licences(spark):
     assert by[4]["labels"] == "mit" and 0 < by[4]["score"] <= 1
 
 
+def test_base_phrases_match_brute_force(spark):
+    rng = random.Random(7)
+    parts = ["cc", "by", "CC-BY", "general", "public", "license", "General Public License", "all", "rights", "reserved", "All rights, reserved", "é", "nc", "4.0", "mit"]
+    docs = [(k, "".join(rng.choice(parts) + rng.choice([" ", "-", ", ", "\n"]) for _ in range(rng.randrange(40)))) for k in range(150)] + [(150, None), (7, "cc by")]
+    got = licenses.scan(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = []
+    for i, t in docs:
+        w = tokens(t)
+        at = [(k, label) for label, phrase in licenses.BASE for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        want.append((i, len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({label for _, label in at}))))
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"])) for r in got)
+
+
 def test_marginals_are_met(spark):
     rows = [(k, "w " * (1 + k % 5), "en" if k % 3 else "de", "a" if k % 2 else "b", 1) for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
