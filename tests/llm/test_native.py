@@ -1,7 +1,7 @@
 import random
 import re
 
-from pyspark.sql import functions as F
+import pytest
 from vectide.llm import decontam, licenses, mixing
 
 PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -67,19 +67,55 @@ def test_base_phrases_match_brute_force(spark):
     assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"])) for r in got)
 
 
-def test_marginals_are_met(spark):
+def shares(found, axis):
+    """Each value's share of the sample's expected tokens."""
+    got, whole = {}, sum(r["p"] * r["n_tokens"] for r in found)
+    for r in found:
+        got[r[axis]] = got.get(r[axis], 0) + r["p"] * r["n_tokens"] / whole
+    return got
+
+
+def test_marginals_are_met_by_the_sample(spark):
     rows = [(k, "w " * (1 + k % 5), "en" if k % 3 else "de", "a" if k % 2 else "b", 1) for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    goal = {"source": [("a", 0.3), ("b", 0.7)], "lang": [("en", 0.5), ("de", 0.5)], "topic": [("prose", 1.0)]}
-    targets = {axis: spark.createDataFrame(v, f"{axis} string, target double") for axis, v in goal.items()}
-    cells = mixing.mixed(spark, docs, targets, budget=0.4).select("source", "lang", "topic", "weight").distinct().collect()
+    goal = {"source": {"a": 0.3, "b": 0.7}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"prose": 1.0}}
+    targets = {axis: spark.createDataFrame(list(v.items()), f"{axis} string, target double") for axis, v in goal.items()}
+    found = mixing.mixed(spark, docs, targets, budget=0.4).collect()
     for axis, v in goal.items():
-        for name, share in v:
-            assert abs(sum(r["weight"] for r in cells if r[axis] == name) / sum(r["weight"] for r in cells) - share) < 1e-4
-    whole = mixing.mixed(spark, docs, targets, budget=0.4).agg(F.sum(F.col("p") * F.col("n_tokens")) / F.sum("n_tokens")).first()[0]
-    assert abs(whole - 0.4) < 1e-3
+        assert shares(found, axis) == pytest.approx(v, abs=1e-6)
+        assert {x: sum({(r["source"], r["lang"]): r["weight"] for r in found if r[axis] == x}.values()) for x in v} == pytest.approx(v, abs=1e-6)
+    whole = sum(r["n_tokens"] for r in found)
+    assert sum(r["p"] * r["n_tokens"] for r in found) / whole == pytest.approx(0.4, abs=1e-6) and found[0]["residual"] <= mixing.TOLERANCE
+    # A budget beyond what the targets allow gives way to them.
+    found = mixing.mixed(spark, docs, targets, budget=1.0).collect()
+    assert all(shares(found, axis) == pytest.approx(v, abs=1e-6) for axis, v in goal.items()) and max(r["p"] for r in found) <= 1
+    assert 0.4 < sum(r["p"] * r["n_tokens"] for r in found) / whole < 1
+
+
+def test_targets_without_tokens_and_values_without_targets(spark):
+    rows = [(k, "w w" if k < 90 else None, "en", "abc"[k % 3], 1) for k in range(99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    goal = {"source": [("a", 0.2), ("b", 0.2), ("z", 0.6)], "lang": [("en", 1.0)], "topic": [("prose", 1.0)]}
+    found = mixing.mixed(spark, docs, {axis: spark.createDataFrame(v, f"{axis} string, target double") for axis, v in goal.items()}).collect()
+    assert shares(found, "source") == pytest.approx({"a": 0.5, "b": 0.5, "c": 0.0}) and len(found) == 99
+    # Targets that can't be met together leave a residual, and an end.
+    apart = spark.createDataFrame([(k, "w", "de" if k < 50 else "en", "a" if k < 50 else "b", 1) for k in range(100)], docs.schema)
+    goal = {"source": [("a", 0.9), ("b", 0.1)], "lang": [("de", 0.1), ("en", 0.9)], "topic": [("prose", 1.0)]}
+    found = mixing.mixed(spark, apart, {axis: spark.createDataFrame(v, f"{axis} string, target double") for axis, v in goal.items()}).collect()
+    assert len(found) == 100 and found[0]["residual"] > 0.1
+
+
+def test_many_cells_are_raked_alike(spark, monkeypatch):
+    rows = [(k, "w " * (1 + k % 7), ("en", "de", "fr")[k % 3], f"s{k * k % 41}", 1) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    take = lambda: {r["row"]["doc_id"]: (round(r["p"], 9), r["sampled"]) for r in mixing.mixed(spark, docs, carry=("doc_id",)).collect()}
+    one = take()
+    monkeypatch.setattr(mixing, "ONE_TASK", 3)
+    assert take() == one and len({p for p, _ in one.values()}) > 40
 
 
 def test_mixing_odd_rows(spark, odd, none):
-    assert len(mixing.mixed(spark, odd).collect()) == 13 and mixing.mixed(spark, none).count() == 0
+    got = mixing.mixed(spark, odd).collect()
+    assert len(got) == 13 and mixing.mixed(spark, none).count() == 0
     assert set(mixing.sample(spark, odd).columns) == set(odd.columns)
+    assert mixing.mixed(spark, odd.filter("text = ''")).first()["p"] == mixing.BUDGET
