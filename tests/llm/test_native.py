@@ -2,7 +2,8 @@ import random
 import re
 
 import pytest
-from vectide.llm import decontam, licenses, mixing
+from pyspark.sql import functions as F
+from vectide.llm import decontam, licenses, mixing, native
 
 PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -11,6 +12,13 @@ def tokens(t):
     return re.findall(PLAIN, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
 
 
+def test_words_of_every_character(spark):
+    rows = [("".join(chr(c) for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) + "AbZ",) for a in range(0, 0x110000, 64)]
+    cut = spark.createDataFrame(rows, "text string").withColumn("words", native.words(F.col("text")))
+    plain = F.regexp_extract_all(F.translate("text", native.UPPER, native.LOWERED), F.lit(native.WORD), F.lit(0))
+    assert cut.filter(F.col("words") != plain).count() == 0
+
+
 def test_hits_match_brute_force(spark):
     items = [(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "short phrase"), (3, None), (10, "A b c d e f g h i j")]
     docs = [(1, "x One two, three four five six seven eight nine ten eleven y"), (2, "short-phrase short phrase"), (3, None), (4, "a b c d e f g h i j a b c d e f g h i j"), (5, "two three four"), (6, ""), (6, "short phrase")]
@@ -31,6 +39,41 @@ def test_hits_match_brute_force(spark):
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_proximity_matches_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{int(40 * rng.random() ** 3)}" for _ in range(200)]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, make(rng.choice([1, 2, 4, 6]))) for k in range(12)]
+    docs = [(k, make(rng.randrange(60))) for k in range(60)] + [(60, items[3][1]), (60, "w1 w1"), (None, items[3][1])]
+    often = {}
+    for _, t in docs:
+        for w in tokens(t):
+            often[w] = often.get(w, 0) + 1
+    want = set()
+    for item, u in items:
+        v = tokens(u)
+        for window in (v[s : s + 4] for s in range(len(v) - min(4, len(v)) + 1)):
+            ranked = sorted((often.get(w, 0), w, k) for k, w in enumerate(window))
+            if not ranked[0][0]:
+                continue
+            rare, other = ranked[0][1], ranked[min(1, len(ranked) - 1)][1]
+            for i, t in docs:
+                w = tokens(t)
+                if any(w[a] == rare and w[b] == other and abs(a - b) < 4 and (a != b or len(window) == 1) for a in range(len(w)) for b in range(len(w))):
+                    want.add((i, t, str(item)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    mark = {r["mark"]: r["text"] for r in frame.select("text", F.xxhash64("text").alias("mark")).collect()}
+    found = decontam.proximity(spark, frame, spark.createDataFrame(items, "item_id long, text string"), within=4)
+    assert {(r["doc_id"], mark[r["mark"]], r["item"]) for r in found.collect()} == want and len(want) > 20
+
+
+def test_a_passage_in_many_rows_is_found_in_each(spark):
+    passage = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(k, f"a{k} {passage} b{k}" if k % 3 else f"a{k} plain") for k in range(600)], "doc_id long, text string")
+    got = decontam.contamination(spark, docs, spark.createDataFrame([(5, passage + " eleven")], "item_id long, text string")).collect()
+    assert len(got) == 600 and all((r["n_hit"], r["contaminated"]) == ((10, True) if r["doc_id"] % 3 else (0, False)) for r in got)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "phrase or short"), (2, "short")], "doc_id long, text string")
     items = spark.createDataFrame([(2, "short phrase")], "item_id long, text string")

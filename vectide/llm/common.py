@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from vectide.plans.ship import ship
-from vectide.plans.store import keep, shared_dir
+from vectide.plans.store import forget, keep, shared_dir
 
-__all__ = ["flat", "in_arrow", "keep", "mix", "shared_dir", "span_hashes", "steps", "table", "words"]
+__all__ = ["flat", "forget", "in_arrow", "keep", "mix", "shared_dir", "span_hashes", "steps", "table", "words"]
 
 #: Bytes of text that one numpy step handles; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
