@@ -22,6 +22,23 @@ def test_collisions_are_told_apart(spark):
     assert got == {0: (6, 3, False), 2: (6, 3, False), 6: (6, 3, True), 1: (4, 2, False), 4: (4, 2, True), 3: (5, 2, False), 5: (5, 2, True), 7: (7, 1, True)}
 
 
+def test_long_texts_are_compared_beyond_their_first_chunk(spark):
+    """Copies of several chunks, and texts that differ in the last one alone, with one fingerprint for all and without."""
+    long = "é long line of text " * 5000
+    rows = [(1, long), (2, long), (2, long), (3, long[:-1] + "x"), (4, long[:-1] + "y"), (5, "short"), (None, long), (None, "none"), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(1, 2, 4, False), (2, 2, 4, True), (2, 2, 4, True), (3, 3, 1, True), (4, 4, 1, True), (5, 5, 1, True), (None, 2, 4, False), (None, None, 2, True), (None, None, 2, True)], key=str)
+    for options in ({}, {"modulus": 1}, {"huge": 30_000}, {"huge": 30_000, "modulus": 1}):
+        got = exact.exact_duplicates(spark, docs, **options).collect()
+        assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got), key=str) == want, options
+
+
+def test_one_large_group(spark):
+    docs = spark.createDataFrame([(k, "the same" if k % 3 else f"other {k}") for k in range(3000)], "doc_id long, text string")
+    got = exact.exact_duplicates(spark, docs).filter("group_size > 1").collect()
+    assert len(got) == 2000 and {(r["keep_id"], r["group_size"]) for r in got} == {(2999, 2000)}
+
+
 def test_odd_rows(spark, odd, none):
     got = exact.exact_duplicates(spark, odd).collect()
     assert len(got) == 13 and exact.exact_duplicates(spark, none).count() == 0
@@ -76,6 +93,26 @@ def test_one_id_on_two_texts_keeps_the_links_of_both(spark):
     assert sorted(sorted((r["a"], r["b"])) for r in links.collect()) == [[1, 2], [1, 3]]
 
 
+def test_rows_without_ids_link_like_others(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words[:-1], "x"])), (9, " ".join([*words[:-1], "y"])), (None, "v0 v1 v2 v3 v4 v5"), (None, "V0 v1 v2 v3 v4 v5")]
+    got = jaccard.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()
+    assert sorted((str(r["component_id"]), r["n_shingles"]) for r in got) == [("9", 36)] * 3 + [("None", 2)] * 2
+    assert len({r["component"] for r in got}) == 2
+
+
+def test_sets_of_many_sizes_in_hot_lists(spark):
+    """A passage in all rows, more or less of each row: links of different sizes and positions, none lost."""
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(160):
+        size, own = rng.choice([20, 40, 50, 55, 60]), rng.randrange(14)
+        rows.append((k, " ".join([f"o{rng.randrange(30)}" for _ in range(own)] + passage[:size])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()}
+    assert got == brute(rows)
+
+
 def test_odd_sets(spark, odd, none):
     got = jaccard.jaccard_components(spark, odd)[0].collect()
     by = {r["doc_id"]: r for r in got}

@@ -2,24 +2,26 @@
 
 A text's fingerprint is its bytes as a polynomial modulo a prime. The text is cut into chunks whose hashes
 are computed independently and joined by ``h(ab) = h(a) * r^len(b) + h(b)``, so a huge document needs no
-state beyond one chunk. Rows with equal length and fingerprint are then compared with the row that stays,
-chunk against chunk; a row that differs anywhere leaves that group and is grouped by its whole text.
+state beyond one chunk, and its pieces are hashed by many tasks. Rows with equal length and fingerprint are
+then compared chunk against chunk; where any differs, the group is cut by the digests of its whole texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import flat, in_arrow, keep, steps, table
+from vectide.llm.common import flat, forget, in_arrow, keep, steps, table
 
 PRIME = (1 << 61) - 1
 BASE = 0x1F3D5B79A2C4E687 % PRIME
 #: Bytes of a hashed chunk; characters of a compared chunk.
 CHUNK_BYTES = 1 << 16
 CHUNK_CHARS = 1 << 15
+#: Larger texts are hashed by several tasks.
+HUGE_BYTES = 8 << 20
 
 
 def power(length: int, prime: int = PRIME, base: int = BASE) -> int:
@@ -107,41 +109,81 @@ def fingerprints(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprint_batches(modulus: int):
+def _fingerprint_batches(modulus: int, names: list[str]):
+    """``names`` of the batch, which has ``text``, with its fingerprint and bytes."""
+
     def run(batches):
         for batch in batches:
             data, at = flat(batch.column("text"))
             prints = fingerprints(data, at) % modulus
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_sha256"), pa.array(prints, pa.int64()), pa.array(np.diff(at), pa.int64())], ["doc_id", "text_sha256", "fp", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(prints, pa.int64()), pa.array(np.diff(at), pa.int64())], [*names, "fp", "n_bytes"])
+
+    return run
+
+
+def _combined(modulus: int):
+    """One row of a document's piece fingerprints, in order."""
+
+    def run(batches):
+        for batch in batches:
+            whole = []
+            for pieces in batch.column("pieces").to_pylist():
+                total = (0, 0)
+                for p in pieces:
+                    total = combine(total, (p["fp"], p["n_bytes"]))
+                whole.append(total)
+            prints, sizes = [f % modulus for f, _ in whole], [n for _, n in whole]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_sha256"), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), batch.column("copies")], ["doc_id", "text_sha256", "fp", "n_bytes", "copies"])
 
     return run
 
 
-def exact_duplicates(spark: SparkSession, docs: DataFrame, modulus: int = PRIME) -> DataFrame:
+def _pieces(text: Column, chars: int) -> Column:
+    """The text cut every ``chars`` characters: an array of (part, piece); an empty text is one piece."""
+    last = F.floor(F.greatest(F.lit(0), F.length(text) - 1) / chars).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("part"), F.substring(text, i * chars + 1, F.lit(chars)).alias("text")))
+
+
+def _marked(base: DataFrame, modulus: int, huge: int) -> DataFrame:
+    """(doc_id, text_sha256, fp, n_bytes) of each row. Texts of more than ``huge`` bytes are cut in pieces that are dealt
+    to all tasks and hashed there; a piece's fingerprint is exact whatever the modulus, which folds the whole one."""
+    size = F.octet_length("text")
+    rows = base.withColumn("text_sha256", F.sha2(F.encode("text", "UTF-8"), 256))
+    small = in_arrow(rows.filter(size <= huge), _fingerprint_batches(modulus, ["doc_id", "text_sha256"]), "doc_id long, text_sha256 string, fp long, n_bytes long")
+    cut = rows.filter(size > huge).select("doc_id", "text_sha256", F.inline(_pieces(F.col("text"), max(1, huge // 4))))
+    # Rows that repeat id and text give each piece several times; their count comes back at the end.
+    dealt = cut.repartition("doc_id", "text_sha256", "part")
+    hashed = in_arrow(dealt, _fingerprint_batches(PRIME, ["doc_id", "text_sha256", "part"]), "doc_id long, text_sha256 string, part int, fp long, n_bytes long")
+    once = hashed.groupBy("doc_id", "text_sha256", "part", "fp", "n_bytes").agg(F.count("*").alias("copies"))
+    gathered = once.groupBy("doc_id", "text_sha256").agg(F.array_sort(F.collect_list(F.struct("part", "fp", "n_bytes"))).alias("pieces"), F.max("copies").alias("copies"))
+    large = in_arrow(gathered, _combined(modulus), "doc_id long, text_sha256 string, fp long, n_bytes long, copies long")
+    each = large.select("doc_id", "text_sha256", "fp", "n_bytes", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    return small.unionByName(each)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, modulus: int = PRIME, huge: int = HUGE_BYTES) -> DataFrame:
     """One row per document: (doc_id, keep_id, group_size, kept, text_sha256).
 
     Null text counts as empty, and all empty texts are one group. Of equal texts the largest doc_id stays;
     rows that repeat a doc_id count each in group_size. A null doc_id never stays unless its whole group has
     none. An empty table gives no rows. Other columns are not looked at. ``modulus`` folds fingerprints to
-    fewer values; results don't depend on it (tests force collisions by it).
+    fewer values, ``huge`` is the size from which a text is hashed in parallel; results depend on neither.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    marked = in_arrow(base.withColumn("text_sha256", F.sha2(F.encode("text", "UTF-8"), 256)), _fingerprint_batches(modulus), "doc_id long, text_sha256 string, fp long, n_bytes long")
-    marked = keep(spark, marked, "fingerprints")
-    groups = marked.groupBy("fp", "n_bytes").agg(F.max("doc_id").alias("lead"), F.count("*").alias("size"))
-    several = keep(spark, groups.filter("size > 1 and lead is not null"), "groups")
-    member = marked.select("doc_id", "fp", "n_bytes").join(several, ["fp", "n_bytes"]).select("doc_id", "lead").distinct()
-    texts = base.join(member.select("doc_id").distinct(), "doc_id", "left_semi")
-    # Texts meet chunk by chunk: no task ever holds two whole documents.
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / CHUNK_CHARS)).cast("int")), lambda i: F.struct(i.alias("part"), F.substring(F.col("text"), i * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS)).alias("piece")))
-    pieces = keep(spark, texts.select("doc_id", F.inline(cut)), "pieces")
-    mine = pieces.join(member, "doc_id").select("doc_id", "lead", "part", "piece")
-    led = pieces.join(member.filter("doc_id = lead").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("lead"), "part", F.col("piece").alias("lead_piece"))
-    differs = mine.join(led, ["lead", "part"], "left").filter(~F.col("piece").eqNullSafe(F.col("lead_piece")))
-    odd = keep(spark, several.join(differs.select("lead").distinct(), "lead", "left_semi").select("fp", "n_bytes", F.lit(True).alias("odd")), "collisions")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    marked = keep(spark, _marked(base, modulus, huge), "fingerprints")
+    groups = marked.groupBy("fp", "n_bytes").agg(F.count("*").alias("size"))
+    several = keep(spark, groups.filter("size > 1").drop("size"), "groups")
+    # Equal fingerprints are compared chunk by chunk: a group's chunk is one text if its least and greatest are. Tasks
+    # send on one pair a chunk, however many copies they read, so no task holds two whole texts or a whole group.
+    printed = in_arrow(base, _fingerprint_batches(modulus, ["text"]), "text string, fp long, n_bytes long")
+    chunks = printed.join(several, ["fp", "n_bytes"], "left_semi").select("fp", "n_bytes", F.inline(_pieces(F.col("text"), CHUNK_CHARS)))
+    spread = chunks.groupBy("fp", "n_bytes", "part").agg(F.min("text").alias("least"), F.max("text").alias("most"))
+    odd = keep(spark, spread.filter("least <> most").select("fp", "n_bytes", F.lit(True).alias("odd")).distinct(), "collisions")
     # A group in which any chunk differs is cut by the digests of its whole texts.
     cut_by = marked.join(odd, ["fp", "n_bytes"], "left").withColumn("own", F.when(F.col("odd"), F.col("text_sha256")).otherwise("")).drop("odd")
-    final = cut_by.groupBy("fp", "n_bytes", "own").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Written first, so that both sides of the join are plain shuffles, of which Spark splits a large group's.
+    final = keep(spark, cut_by.groupBy("fp", "n_bytes", "own").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "final")
+    forget(several)
     return cut_by.join(final, ["fp", "n_bytes", "own"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

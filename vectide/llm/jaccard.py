@@ -15,22 +15,26 @@ meets (the one whose repeated hashes are the most frequent on average) and is co
 delta: the hashes that only one of the two has. Two sets of one reference differ exactly where their deltas
 differ, so if one of them doesn't link to the reference they can only link by sharing enough of their deltas:
 those are indexed in turn, rarest part first, and meeting pairs are compared. Sets of different references
-that meet in a list and aren't in one component yet are compared last. So a group of copies costs one
-comparison a copy, not one a pair, and no link that would change a component is lost.
+that meet in a list and aren't in one component yet are compared last; lists are cut in blocks by size there,
+and an entry skips the blocks out of its position's reach. So a group of copies costs one comparison a copy,
+not one a pair, and no link that would change a component is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import LOWER, flat, in_arrow, keep, mix, span_hashes, steps, table, words
+from vectide.llm.common import LOWER, flat, forget, in_arrow, keep, mix, span_hashes, steps, table, words
 
 WIDTH = 5
+#: Sizes within this ratio share a block of a list.
+STEP = 1.12
 #: Steps from a set to its reference, beyond the first.
 HOPS = 2
 #: The threshold as a fraction of whole numbers, so that no rounding decides a link.
@@ -97,7 +101,7 @@ def _sketches(batches):
                 sizes.append(len(found))
                 prints.append(_print(found))
                 lows.append(found[: low_length(len(found))].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), _lists(lows)], ["doc_id", "n", "fp", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), _lists(lows)], ["doc_id", "mark", "n", "fp", "low"])
 
 
 def _whole_sets(batches):
@@ -168,40 +172,57 @@ def _fits(a: str, b: str):
     return (F.least(a, b) * DENOM) >= (F.greatest(a, b) * NUMER)
 
 
+def _band(n) -> Column:
+    """The block of a list that sets of size n stand in: sizes within STEP of each other."""
+    return F.floor(F.log(n) / math.log(STEP))
+
+
+def mark_of(text: Column) -> Column:
+    """Tells rows apart that repeat a doc_id with another text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): (doc_id, n_shingles, component_id), and the compared pairs (a, b, n_a, n_b, common) of
-    representatives that linked, by the least doc_id of each; components follow from them.
+    """(documents, links): (doc_id, mark, n_shingles, component_id, component), and the compared pairs (a, b, n_a, n_b,
+    common) of representatives that linked, by the least doc_id of each; components follow from them.
 
     Null, empty and wordless texts have no shingles and link with nothing. Equal sets are linked, so repeated
-    rows share a component; rows that repeat a doc_id each keep a row, and where their texts differ each text's links count. Rows with a null doc_id give n_shingles
-    and a null component_id unless copies of theirs have ids. An empty table gives no rows. Other columns are
-    not looked at.
+    rows share a component; rows that repeat a doc_id each keep a row (``mark`` tells their texts apart), and where
+    their texts differ each text's links count. Rows with a null doc_id link like all others; component_id, the least
+    doc_id of the component, is null where none of its rows has one. ``component`` names components in this result
+    alone; it is null without shingles. An empty table gives no rows. Other columns are not looked at.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = keep(spark, in_arrow(base, _sketches, "doc_id long, n long, fp binary, low array<long>"), "sketches")
+    text = F.col("text").cast("string")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of(text).alias("mark"), text.alias("text"))
+    sketch = keep(spark, in_arrow(base, _sketches, "doc_id long, mark long, n long, fp binary, low array<long>"), "sketches")
     # A set's id is its group's own: one doc_id may stand for several texts, and be the least of several groups.
-    group = sketch.filter("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("least")).filter("least is not null")
+    group = sketch.filter("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("least"), F.min_by("mark", F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("mark"), F.first("low").alias("low"))
     group = keep(spark, group.withColumn("id", F.monotonically_increasing_id()), "groups")
-    low = sketch.join(group.select(F.col("least").alias("doc_id"), "fp", "n", "id"), ["doc_id", "fp", "n"]).select("id", F.explode("low").alias("h"))
-    common = low.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    low = group.select("id", F.explode("low").alias("h"))
+    # What joins a list by its hash is written first: both sides are then plain shuffles, of which Spark splits a hot hash's.
+    common = keep(spark, low.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h"), "common")
     least = F.floor(F.ceil(F.col("n") * NUMER / DENOM) / 16) + 1
-    likely = low.join(common, "h").groupBy("id").agg(F.count("*").alias("met")).join(group, "id").filter(F.col("met") >= least).select("id", "fp", "n", "least")
+    likely = low.join(common, "h").groupBy("id").agg(F.count("*").alias("met")).join(group.drop("low"), "id").filter(F.col("met") >= least).select("id", "fp", "n", "least", F.col("mark").alias("of"))
     likely = keep(spark, likely, "likely")
-    texts = base.join(likely.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
-    sets = in_arrow(texts, _whole_sets, "n long, fp binary, members array<long>").join(likely.select("id", "fp", "n"), ["fp", "n"])
+    # One text of each group, by its least doc_id and mark; equal rows give it more than once.
+    wanted = likely.select(F.col("least").alias("of_id"), "of").distinct()
+    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of")), "left_semi")
+    sets = in_arrow(texts.select("text"), _whole_sets, "n long, fp binary, members array<long>").join(likely.select("id", "fp", "n"), ["fp", "n"])
     sets = keep(spark, sets.dropDuplicates(["fp", "n"]).select("id", "n", "members"), "sets")
+    forget(common, likely)
 
     # The likely sets whole: those with too many hashes of their own go, the others post their rarest repeated ones.
     whole = sets.select("id", F.explode("members").alias("h"))
-    often = whole.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    often = keep(spark, whole.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "often")
     met = whole.join(often, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("met"))
     posts = met.join(sets.select("id", "n"), "id").withColumn("take", (F.size("met") - F.ceil(F.col("n") * NUMER / DENOM) + 1).cast("int")).filter("take > 0")
     posts = posts.withColumn("c", F.aggregate("met", F.lit(0.0), lambda t, m: t + F.log(m["df"])) / F.col("n")).withColumn("last", F.size("met") - 1)
     posts = posts.select("id", "n", "c", "last", F.posexplode(F.slice("met", F.lit(1), "take")).alias("i", "m")).select("id", "n", "c", (F.col("last") - F.col("i")).alias("rest"), F.col("m.h").alias("h"))
     posts = keep(spark, posts, "posts")
     # Ties go to the smallest id in every list alike, so that a group of copies has one reference.
-    lists = posts.groupBy("h").agg(F.max(F.struct("c", -F.col("id"))).alias("lead"), F.count("*").alias("size")).filter("size > 1")
+    lists = keep(spark, posts.groupBy("h").agg(F.max(F.struct("c", -F.col("id"))).alias("lead"), F.count("*").alias("size")).filter("size > 1"), "lists")
     active = keep(spark, posts.join(lists, "h").select("h", "id", "n", "rest", "lead"), "active")
+    forget(often, posts, lists)
 
     # Round 1: each set against its reference.
     seen = active.groupBy("id", "n").agg((-F.max("lead")["col2"]).alias("ref"))
@@ -220,7 +241,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame,
     open_ = delta.groupBy(F.col("b").alias("ref")).agg(F.count("*").alias("size"), F.bool_and("linked").alias("all")).filter("size > 1 and not `all`").select("ref")
     star = star.join(open_, "ref")
     part = star.select("ref", "id", F.explode("delta").alias("e"))
-    often = part.groupBy("ref", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    often = keep(spark, part.groupBy("ref", "e").agg(F.count("*").alias("df")).filter("df > 1"), "often")
     rare = part.join(often, ["ref", "e"]).groupBy("ref", "id").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("met"))
     floor_ = F.when(F.col("linked"), F.ceil(F.col("apart") * NUMER / (NUMER + DENOM))).otherwise(F.col("apart") - F.floor(F.col("n") * (DENOM - NUMER) / NUMER))
     posted = rare.join(star.drop("delta"), ["ref", "id"]).withColumn("take", F.size("met") - F.greatest(floor_, F.lit(1)) + 1).filter("take > 0")
@@ -236,32 +257,37 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame,
     more = links.union(second.filter("linked").select("a", "b", "n_a", "n_b", "common"))
     reached = components(spark, more)
 
-    # Round 3: sets of different references that meet in a list.
+    # Round 3: sets of different references that meet in a list. A list's entries stand in blocks by size, and an entry
+    # skips the blocks that it can't reach from its position: sizes for which what is left of it is too little.
     placed = active.select("h", "id", "n", "rest").join(seen.select("id", "ref"), "id").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("ref").alias("first"), F.max("ref").alias("last")).filter("lo < hi and first < last").select("h")
-    placed = keep(spark, placed.join(mixed, "h"), "placed")
+    placed = keep(spark, placed.join(keep(spark, mixed, "mixed"), "h"), "placed")
     x = placed.select("h", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "rest", "ref", "component")))
-    y = placed.select("h", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "rest", "ref", "component")))
+    y = placed.select("h", _band(F.col("n")).alias("band"), *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "rest", "ref", "component")))
+    most = F.least(F.col("x_n") * DENOM / NUMER, (F.col("x_rest") + 1) * (NUMER + DENOM) / NUMER - F.col("x_n"))
+    x = x.withColumn("most", most).filter("most >= x_n").withColumn("band", F.explode(F.sequence(_band(F.col("x_n")), _band(F.col("most"))))).drop("most")
     enough = (NUMER + DENOM) * (1 + F.least("x_rest", "y_rest")) >= NUMER * (F.col("x_n") + F.col("y_n"))
-    pairs = x.join(y, "h").filter(enough & (F.col("x_id") < F.col("y_id")) & (F.col("x_ref") != F.col("y_ref")) & (F.col("x_ref") != F.col("y_id")) & (F.col("y_ref") != F.col("x_id")) & (F.col("x_component") != F.col("y_component")) & _fits("x_n", "y_n"))
+    once = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") < F.col("y_id")))
+    pairs = x.join(y, ["h", "band"]).filter(once & enough & (F.col("x_ref") != F.col("y_ref")) & (F.col("x_ref") != F.col("y_id")) & (F.col("y_ref") != F.col("x_id")) & (F.col("x_component") != F.col("y_component")) & _fits("x_n", "y_n"))
     third = keep(spark, compare(pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), sets), "compared")
     late = third.filter("linked").select("a", "b", "n_a", "n_b", "common")
     if not late.isEmpty():
         more = more.union(late)
         reached = components(spark, more)
 
-    placed = group.join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    whole = placed.join(named, "component").select("fp", "n", "component_id")
-    out = sketch.select("doc_id", "n", "fp").join(whole, ["fp", "n"], "left")
+    joined = group.select("fp", "n", "least", "id").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    whole = joined.join(keep(spark, named, "named"), "component").select("fp", "n", "component", "component_id")
+    out = sketch.select("doc_id", "mark", "n", "fp").join(whole, ["fp", "n"], "left")
     for end in ("a", "b"):
         more = more.join(group.select(F.col("id").alias(end), F.col("least").alias(f"doc_{end}")), end).drop(end).withColumnRenamed(f"doc_{end}", end)
     more = more.select("a", "b", "n_a", "n_b", "common")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), more
+    forget(active, seen, placed, posted)
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component"), more
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark, table(spark, sf_dir, "documents"))[0]
+    return jaccard_components(spark, table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join}
