@@ -1,53 +1,68 @@
 """The corpus pipeline: language ID, exact dedup, near duplicates, decontamination and mixing, in this order.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the rows that stay,
-with the columns of documents; the last adds ``mix_p``, the probability by which a row was sampled. Rows with a
-null doc_id can't be named by a decision and are dropped. Null texts are rejected by the first stage.
+with the columns of documents; the last adds ``mix_p``, the probability by which a row was sampled. Stages decide by
+row: a doc_id that stands on several texts, or a null one, has each of its texts judged by itself. Of rows that repeat
+both id and text, the two stages on duplicates keep one, whatever their other columns hold, and the others keep or drop
+all. Null texts are rejected by the first stage. Empty tables go through as such.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vectide.llm import decontam, exact, jaccard, language, mixing
 from vectide.llm.common import keep, table
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.filter("doc_id is not null")
+def _without(spark: SparkSession, docs: DataFrame, dropped: DataFrame, mark: Column, repeated: DataFrame | None = None) -> DataFrame:
+    """``docs`` but for the rows whose doc_id and ``mark`` are in ``dropped`` (id, mark), and with one row for each in
+    ``repeated``. Both are written first, so that their size is known."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), mark.alias("mark"))
 
+    def met(other: DataFrame, how: str) -> DataFrame:
+        other = other.select(F.col("id").alias("of_id"), F.col("mark").alias("of"))
+        return rows.join(other, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of")), how)
 
-def _without(spark: SparkSession, docs: DataFrame, out: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose doc_id is in ``out``, which is written first so that its size is known."""
-    return docs.join(keep(spark, out.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    dropped = keep(spark, dropped.distinct(), "dropped")
+    if repeated is None or (repeated := keep(spark, repeated, "repeated")).isEmpty():
+        return met(dropped, "left_anti").select("row.*")
+    alone = met(dropped.unionByName(repeated), "left_anti")
+    return alone.unionByName(met(repeated, "left_semi").dropDuplicates(["id", "mark"])).select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows whose text has no letter or no language at a score of one half."""
-    return language.accepted(spark, _named(docs))
+    return language.accepted(spark, docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    docs = _named(docs)
-    return _without(spark, docs, exact.exact_duplicates(spark, docs).filter("not kept"))
+    """Of equal texts the row with the largest doc_id stays, once."""
+    found = keep(spark, exact.exact_duplicates(spark, docs).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("mark"), "kept"), "found")
+    repeated = found.filter("kept").groupBy("id", "mark").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    return _without(spark, docs, found.filter("not kept").drop("kept"), F.sha2(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"), 256), repeated)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the row with the smallest doc_id stays."""
-    docs = _named(docs)
-    return _without(spark, docs, jaccard.jaccard_components(spark, docs)[0].filter("component_id <> doc_id"))
+    """Of each component of near duplicates the row with the smallest doc_id stays, once; of several texts of that id, one."""
+    found = jaccard.jaccard_components(spark, docs)[0].filter("component is not null").select("component", F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), "mark").alias("row"))
+    found = keep(spark, found, "found")
+    first = keep(spark, found.groupBy("component").agg(F.min("row").alias("first"), F.count("*").alias("size")).filter("size > 1"), "first")
+    several = keep(spark, found.join(first, "component").select("row.id", "row.mark", (F.col("row") == F.col("first")).alias("kept")), "several")
+    repeated = several.filter("kept").groupBy("id", "mark").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    return _without(spark, docs, several.filter("not kept").drop("kept"), jaccard.mark_of(F.col("text")), repeated)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows in which a benchmark window occurs."""
-    docs = _named(docs)
-    return _without(spark, docs, decontam.contamination(spark, docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    found = decontam.contamination(spark, docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
+    return _without(spark, docs, found.select(F.col("doc_id").alias("id"), "mark"), jaccard.mark_of(F.col("text")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples rows so that token shares of source, language and topic move towards their targets, as far as the budget lets them."""
-    return mixing.sample(spark, _named(docs))
+    """Samples rows so that the sample's token shares of source, language and topic meet their targets."""
+    return mixing.sample(spark, docs)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix_sources", mix)]
