@@ -69,6 +69,45 @@ def test_language_of_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and {3, 4, 5, 8}.isdisjoint({r["doc_id"] for r in kept.collect()})
 
 
+def test_characters_are_code_points():
+    texts = ["aé漢😀z", "", "ñ", "plain"]
+    got, bounds = language.characters(*flat(pa.array(texts)))
+    assert [[chr(c) for c in got[bounds[k] : bounds[k + 1]]] for k in range(4)] == [list(t) for t in texts]
+
+
+def test_held_out_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    held = [r for r in language.identify(spark, docs).collect() if r["held_out"] and lang[r["doc_id"]]]
+    assert len(held) > 150 and sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.98 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in held)
+
+
+def test_samples_are_bounded_whatever_is_repeated(spark):
+    """Repeated and null ids, and long texts, don't add to what the driver gets."""
+    from vectide.llm.common import SAMPLE_CHARS, sampled
+
+    rows = spark.range(4000).selectExpr("cast(null as long) doc_id", "case when id % 4 = 0 then repeat('ab ', 20000) when id % 4 = 1 then 'same' else concat('t', id) end text", "case when id % 4 < 2 then 'x' else concat('l', id % 3) end lang")
+    got = sampled(rows, 50, "lang")
+    assert len(got) == 2 + 3 * 50 and max(len(r["text"]) for r in got) == SAMPLE_CHARS and len({(r["text"], r["lang"]) for r in got}) == len(got)
+    assert len(sampled(rows, 70)) == 70 and sampled(rows.limit(0), 5) == []
+
+
+def test_held_out_toxicity(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    held = [r for r in toxicity.toxicity(spark, docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels).collect() if r["held_out"]]
+    caught = sum(r["predicted"] for r in held if toxic[r["doc_id"]] == 1)
+    assert caught >= 0.85 * sum(toxic[r["doc_id"]] == 1 for r in held) and caught >= 0.85 * sum(r["predicted"] for r in held)
+
+
+def test_sentences():
+    data, at = flat(pa.array(["One. Two!\nthree 3.5 m.o.r", "", "four"]))
+    cut = toxicity.sentences(data, at)
+    assert [data[a:b].tobytes().decode() for a, b in zip(cut, cut[1:])] == ["One.", " Two!", "\n", "three 3.5 m.o.r", "four"]
+
+
 def test_string_kernel_by_definition():
     def count(s, t, lam=toxicity.DECAY):
         from itertools import combinations
@@ -119,17 +158,83 @@ def test_network_gradient():
 
 
 def test_decoding_matches_all_paths():
+    """Runs of several lengths, shorter and longer than a block, against the plain recursion over whole runs."""
     net = pii.Net(2)
     rng = np.random.default_rng(1)
-    net.p["A"] = rng.normal(size=net.p["A"].shape).astype(np.float32)
-    x = rng.integers(0, pii.CLASSES, (4, 6)).astype(np.uint8)
-    e, _ = net.emissions(x)
-    got = net.decode(x)
+    a = net.p["A"] = rng.normal(size=net.p["A"].shape).astype(np.float32)
+    sizes = np.array([1, 3, 4, pii.BLOCK - 1, pii.BLOCK, pii.BLOCK + 1, 5 * pii.BLOCK + 7])
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    e = rng.normal(size=(edge[-1], pii.LABELS)).astype(np.float32) * 2
+    got = net.decode(e, edge)
+
+    def value(y, e):
+        path = [0, *y, 0]
+        return sum(a[p, q] for p, q in zip(path, path[1:])) + sum(e[t, k] for t, k in enumerate(y))
+
     from itertools import product
 
-    for w in range(6):
-        best = max(product(range(pii.LABELS), repeat=4), key=lambda y: net.p["s"][y[0]] + sum(e[t, w, y[t]] for t in range(4)) + sum(net.p["A"][y[t], y[t + 1]] for t in range(3)))
-        assert tuple(got[:, w]) == best
+    for k, size in enumerate(sizes):
+        run, y = e[edge[k] : edge[k + 1]], got[edge[k] : edge[k + 1]]
+        if size <= 4:
+            assert tuple(y) == max(product(range(pii.LABELS), repeat=size), key=lambda y: value(y, run))
+        best = np.where(np.arange(pii.LABELS) == 0, 0.0, -np.inf)
+        for t in range(size):
+            best = (best[:, None] + a).max(0) + run[t]
+        assert abs(value(y, run) - (best + a[:, 0]).max()) < 1e-2
+
+
+def test_outputs_of_windows_are_joined():
+    """A stretch longer than a window: each character's output is the weighted mean of its windows', so a text that is cut
+    at other places gives nearly the same."""
+    net = pii.Net(2)
+    rng = np.random.default_rng(5)
+    line = rng.integers(1, pii.CLASSES, 1000).astype(np.uint8)
+    whole = pii.outputs(net, line, np.array([0]), np.array([1000]))
+    one, _ = net.emissions(line[:, None])
+    assert whole.shape == (1000, pii.LABELS) and np.abs(whole[: pii.WIDTH - pii.OVERLAP] - one[: pii.WIDTH - pii.OVERLAP, 0]).max() < 0.5
+    short = pii.outputs(net, line, np.array([10, 300]), np.array([60, 350]))
+    assert np.allclose(short[:50], net.emissions(np.concatenate([line[10:60], np.zeros(pii.WIDTH - 50, np.uint8)])[:, None])[0][:50, 0], atol=1e-5)
+
+
+def test_stretches_around_signs():
+    text = "x" * 100 + "7" + "y" * 300 + " dot " + "z" * 100 + "(at)"
+    data = np.frombuffer(text.encode(), np.uint8)
+    row, start, end = pii.stretches(np.flatnonzero(pii.signs(data)), np.array([0, 90, len(data)]))
+    assert row.tolist() == [1, 1] and (start[0], end[0]) == (90, 100 + pii.REACH + 1)
+    assert (start[1], end[1]) == (402 - pii.REACH, len(data))  # two signs within reach are one stretch
+    assert not pii.signs(np.frombuffer(b"dots anecdote [a] at", np.uint8)).any()
+
+
+#: Spellings by hand, apart from the generator that training windows come from, and sentences to put them in.
+SPELLINGS = {
+    "email": ["jane.roe [at] corp [dot] org", "sam_9 AT mail DOT example DOT net", "li(at)uni(dot)edu", "bob{at}site{dot}io", "anna @ webmail.de", "joe at firm dot co dot uk", "k-smith@host . org", "Maria.Lopez (at) banco.com", "info [AT] shop.nl", "peter<at>haus<dot>de", "x.y@z [dot] fr", "team at startup dot io", "ceo[@]bigco[.]com", "rita.m at mail dot pt", "hugo_77 (at) club (dot) cat"],
+    "ip": ["10[.]1[.]22[.]9", "192(dot)168(dot)7(dot)14", "172 . 16 . 254 . 3", "8{.}8{.}4{.}4", "10 dot 0 dot 0 dot 1", "203[dot]0[dot]113[dot]77", "66(.)249(.)66(.)1", "198 [.] 51 [.] 100 [.] 23"],
+    "card": ["4111.1111.1111.1111", "5500 - 0000 - 0000 - 0004", "3400/000000/00009", "4111_1111_1111_1111", "4111  1111  1111  1111", "6011,0009,9013,9424", "5105 . 1051 . 0510 . 5100", "4012/8888/8888/1881"],
+    "phone": ["(020) 7946 0958", "555.867.5309", "0049 30 1234567", "555/867-5309", "1-800-555-0199", "(212) 555 0187", "030 - 1234 5678", "0033 1 45678902", "020 79460958", "+49-(0)30-1234567"],
+}
+CARRIERS = ["Please write to {} before Friday.", "Bitte an {} senden, danke!", "contact: {}\nthanks", "la lettre ({}) est ici", "reach us, {}, any day", "{} was in the log", "see {}"]
+
+
+def test_spellings_by_hand_are_found():
+    import pyarrow.parquet as pq
+
+    texts = sorted(t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() if t and re.search("[0-9@]", t))[:400]
+    net = pii.Net()
+    net.train(*pii.labelled([t[:16384] for t in texts]))
+    for kind, spellings in SPELLINGS.items():
+        found = 0
+        for s in spellings:
+            for carrier in CARRIERS:
+                text, at = carrier.format(s), carrier.index("{")
+                data = np.frombuffer(text.encode(), np.uint8)
+                base = pii.base_spans(text)
+                spans = [*base, *pii.added(text, [(k, a, b) for _, k, a, b in pii.tag(net, data, np.array([0, len(data)]))], base)]
+                found += (pii.KINDS.index(kind), at, at + len(s)) in spans
+        assert found >= 0.9 * len(spellings) * len(CARRIERS), (kind, found)
+    # Figures and signs that are no personal data, and texts cut into long rows.
+    plain = "The meeting is at 10 and costs $3.50 (at noon). In 2019 the v1.2.3 release had 12,345 users at 99.5%. Row [12] and [13] (at least 5), 100 x 200; 12/05/2024 10:30, room 101. "
+    data = np.frombuffer((plain * 40).encode(), np.uint8)
+    assert pii.added(plain * 40, [(k, a, b) for _, k, a, b in pii.tag(net, data, np.array([0, len(data)]))], []) == []
 
 
 def test_patterns():
@@ -186,7 +291,7 @@ def test_base_spans_match_the_definitions():
 
 
 def test_personal_data_of_odd_rows(spark, odd, none):
-    got = pii.personal_data(spark, odd).collect()
+    got = pii.personal_data(spark, odd, windows=200).collect()
     assert len(got) == 13 and all(r["base"] == "" for r in got)
     assert pii.personal_data(spark, none).count() == 0
 

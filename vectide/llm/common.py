@@ -7,12 +7,13 @@ import functools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from vectide.plans.ship import ship
 from vectide.plans.store import forget, keep, shared_dir
 
-__all__ = ["flat", "forget", "in_arrow", "keep", "mix", "shared_dir", "span_hashes", "steps", "table", "words"]
+__all__ = ["flat", "forget", "in_arrow", "keep", "mix", "sampled", "shared_dir", "span_hashes", "steps", "table", "words"]
 
 #: Bytes of text that one numpy step handles; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
@@ -23,6 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Characters of a text that a classifier's sample holds; of longer ones a stretch that the digest places.
+SAMPLE_CHARS = 1 << 14
+
+
+def sampled(rows: DataFrame, most: int, by: str | None = None) -> list:
+    """At most ``most`` distinct rows of ``rows`` (which has ``text``), or of each value of ``by``: those of least digest,
+    sorted by it. What the driver gets is bounded by ``most`` times SAMPLE_CHARS, however often a row is repeated."""
+    marked = rows.withColumn("_digest", F.xxhash64(*rows.columns))
+    narrow = marked.select(*([by] if by else []), "_digest").distinct()
+    if by:
+        first = Window.partitionBy(by).orderBy("_digest")
+        narrow = narrow.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most)
+    else:
+        narrow = narrow.orderBy("_digest").limit(most)
+    wanted = [r["_digest"] for r in narrow.select("_digest").collect()]
+    if not wanted:
+        return []
+    start = F.pmod("_digest", F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
+    cut = marked.filter(F.col("_digest").isin(wanted)).withColumn("text", F.substring(F.col("text"), start.cast("int"), F.lit(SAMPLE_CHARS)))
+    return sorted(cut.dropDuplicates(["_digest"]).collect(), key=lambda r: r["_digest"])
+
+
 def in_arrow(df: DataFrame, kernel, schema: str) -> DataFrame:
     """``kernel`` over the Arrow batches of ``df``, with this package at hand in the workers."""
     ship(df.sparkSession)
