@@ -2,11 +2,12 @@
 
 A sentence is read as segments: its space-cut words without signs, and runs of very short words joined, so
 that spelled-out words come together. Two segments are as alike as their common three-letter subsequences,
-each discounted by the span it takes, so inserted letters weaken a match and don't break it. Landmarks are
-segments of labelled sentences; the kernel to the landmarks, whitened, is the feature space of a linear
-support vector machine. Its decision is a weight for each three-letter subsequence, which is how segments are
-scored: exactly the landmark sum, without visiting landmarks. A document's score is calibrated from its
-highest margin and the number of positive ones.
+each discounted by the span it takes, so inserted letters weaken a match and don't break it. The kernel to
+landmarks (segments of labelled sentences), whitened, is the feature space of a linear support vector machine,
+which is trained on sentences: a sentence stands by its segment of highest margin, and which sentences of a
+toxic text are toxic is learnt with the machine. Its decision is a weight for each three-letter subsequence,
+which is how segments are scored: exactly the landmark sum, without visiting landmarks. A document's score is
+calibrated from its two highest margins and the number of positive ones.
 """
 
 from __future__ import annotations
@@ -18,18 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import LOWER, flat, in_arrow, span_hashes, steps, table, words
+from vectide.llm.common import LOWER, SPACED, flat, in_arrow, sampled, span_hashes, steps, table, words
 from vectide.llm.language import fold
 
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
-#: Labelled rows that the classifier is fitted on, by the digest of doc_id.
+#: Labelled rows that the classifier is fitted on, by the digest of doc_id; SAMPLE_CHARS bounds a row's text.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
-LANDMARKS = 48
+LANDMARKS = 320
+#: Rounds of training and choosing sentences; a toxic row's sentences in one; the clean sentences nearest to toxic ones, and as many drawn.
+ROUNDS, SENTENCES, NEGATIVES = 4, 4, 4000
 DECAY = 0.7
-LETTERS = 32
+LETTERS = 40
 #: Longer segments are read in windows of WIDEST letters, each half over the last.
-WIDEST = 16
+WIDEST = 17
 #: Cached margins of a task.
 CACHE = 1 << 20
 FLOOR = -3.0
@@ -38,11 +41,14 @@ _DROP = 255
 CODE = np.full(256, _DROP, np.uint8)
 CODE[97:123] = np.arange(26)
 CODE[48:58] = 26
-CODE[128:] = 27 + np.arange(128) % 5
+CODE[128:] = 27 + np.arange(128) % 12
+#: The letter that every segment begins with, so that a word's beginning is unlike the same letters within one.
+EDGE = 39
 
 
 def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, starts, ends, row): segments of three to WIDEST letters over a buffer of letter codes."""
+    """(codes, starts, ends, row): segments, EDGE and three letters or more, over a buffer of letter codes; longer ones than
+    WIDEST in pieces, of which the first has the EDGE."""
     code = CODE[LOWER[data]]
     kept = code != _DROP
     shift = np.zeros(len(data) + 1, np.int64)
@@ -62,7 +68,10 @@ def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     ends = np.concatenate([ends[size >= 3], ends[b[run]]])
     row = np.concatenate([row[size >= 3], row[a[run]]])
     ok = ends - starts >= 3
-    starts, ends, row = starts[ok], ends[ok], row[ok]
+    order = np.flatnonzero(ok)[np.argsort(starts[ok], kind="stable")]
+    starts, ends, row = starts[order], ends[order], row[order]
+    letters = np.insert(code[kept], starts, EDGE)
+    starts, ends = starts + np.arange(len(starts)), ends + np.arange(len(starts)) + 1
     wide = ends - starts > WIDEST
     if wide.any():
         half = WIDEST // 2
@@ -74,7 +83,7 @@ def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         starts = np.concatenate([starts[~wide], e - WIDEST])
         ends = np.concatenate([ends[~wide], e])
         row = np.concatenate([row[~wide], np.repeat(row[wide], pieces)])
-    return code[kept], starts, ends, row
+    return letters, starts, ends, row
 
 
 _TRIPLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -104,22 +113,34 @@ def self_kernel(mat: np.ndarray) -> np.ndarray:
     return lam * lam * (same * prior[:, :-1, :-1]).sum((1, 2))
 
 
-def project(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def norms(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The length of each segment's subsequence features."""
+    out = np.zeros(len(starts), np.float32)
+    for size in np.unique(ends - starts):
+        rows = np.flatnonzero(ends - starts == size)
+        most = max(1, 500_000 // int(size) ** 2)
+        for k in range(0, len(rows), most):
+            part = rows[k : k + most]
+            out[part] = np.sqrt(np.maximum(self_kernel(codes[starts[part][:, None] + np.arange(size)]), 1e-12))
+    return out
+
+
+def project(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, norm: np.ndarray | None = None) -> np.ndarray:
     """The normalised subsequence features of each segment times ``weights`` (LETTERS^3, columns)."""
+    norm = norms(codes, starts, ends) if norm is None else norm
     out = np.zeros((len(starts), weights.shape[1]), np.float32)
     for size in np.unique(ends - starts):
         t, decay = _triples(int(size))
         rows = np.flatnonzero(ends - starts == size)
-        most = max(1, 2_000_000 // (len(t) * weights.shape[1] + int(size) ** 2 * 4))
+        most = max(1, 2_000_000 // (len(t) * weights.shape[1]))
         for k in range(0, len(rows), most):
             part = rows[k : k + most]
             mat = codes[starts[part][:, None] + np.arange(size)].astype(np.int64)
             index = (mat[:, t[:, 0]] * LETTERS + mat[:, t[:, 1]]) * LETTERS + mat[:, t[:, 2]]
-            norm = np.sqrt(np.maximum(self_kernel(mat), 1e-12))
             if weights.shape[1] == 1:
-                out[part, 0] = (weights[:, 0][index] @ decay) / norm
+                out[part, 0] = (weights[:, 0][index] @ decay) / norm[part]
             else:
-                out[part] = np.einsum("btm,t->bm", weights[index], decay) / norm[:, None]
+                out[part] = np.einsum("btm,t->bm", weights[index], decay) / norm[part][:, None]
     return out
 
 
@@ -162,63 +183,120 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _by_row(margin: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    top = np.full(rows, FLOOR)
-    np.maximum.at(top, row, margin)
-    return np.column_stack([top, np.log1p(np.bincount(row[margin > 0], minlength=rows))])
+def sentences(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The offsets at which the sentences of all rows begin, and the end: rows begin one, and so does what follows a line
+    break or a full stop, exclamation or question mark before white space."""
+    stop = np.isin(data, np.frombuffer(b".!?", np.uint8))
+    stop[:-1] &= ~SPACED[data[1:]]
+    stop |= data == 10
+    return np.unique(np.concatenate([at, np.flatnonzero(stop) + 1]))
 
 
-def _gathered(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """``segments`` of all rows and their hashes, found a step at a time: tables of powers stay as small as a step."""
-    parts, base = [], 0
-    for i, j in steps(at):
-        codes, starts, ends, row = segments(data[at[i] : at[j]], at[i : j + 1] - at[i])
-        parts.append((codes, starts + base, ends + base, row + i, span_hashes(codes, starts, ends)))
-        base += len(codes)
-    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+def _by_row(margin: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """What calibration looks at: each row's highest margin, its second highest, and how many are positive."""
+    order = np.lexsort((-margin, row))
+    ranked, of = margin[order], row[order]
+    first = np.searchsorted(of, np.arange(rows))
+    size = np.bincount(of, minlength=rows)
+    top = [np.where(size > k, ranked[np.minimum(first + k, max(0, len(ranked) - 1))], FLOOR) if len(ranked) else np.full(rows, FLOOR) for k in (0, 1)]
+    return np.column_stack([*(np.clip(t, FLOOR, -FLOOR) for t in top), np.log1p(np.bincount(row[margin > 0], minlength=rows))])
+
+
+class Sample:
+    """Labelled texts as sentences and their distinct segments."""
+
+    def __init__(self, texts: list[str], toxic: np.ndarray):
+        data, at = flat(pa.array(texts, pa.large_string()))
+        parts, base = [], 0
+        for i, j in steps(at):  # tables of powers stay as small as a step
+            piece, bounds = data[at[i] : at[j]], at[i : j + 1] - at[i]
+            cut = sentences(piece, bounds)
+            codes, starts, ends, row = segments(piece, cut)
+            doc = np.searchsorted(bounds, cut[:-1], "right") - 1 + i
+            parts.append((codes, starts + base, ends + base, row + sum(len(p[5]) for p in parts), span_hashes(codes, starts, ends), doc))
+            base += len(codes)
+        self.codes, starts, ends, sentence, keys, self.doc_of = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, where, which = np.unique(keys, return_index=True, return_inverse=True)
+        self.starts, self.ends = starts[where], ends[where]
+        self.norm = norms(self.codes, self.starts, self.ends)
+        pairs = np.unique(sentence.astype(np.int64) * len(where) + which)  # a sentence's distinct segments
+        self.sentence, self.segment = pairs // len(where), pairs % len(where)
+        self.toxic, self.rows = toxic, len(texts)
+
+    def text(self, segment: int) -> np.ndarray:
+        return self.codes[self.starts[segment] : self.ends[segment]]
+
+    def projected(self, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return project(self.codes, self.starts[which], self.ends[which], weights, self.norm[which])
+
+    def telling(self, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each sentence's segment of highest margin: (sentences, segments)."""
+        order = np.lexsort((-margin[self.segment], self.sentence))
+        first = np.concatenate([[True], np.diff(self.sentence[order]) != 0])
+        return self.sentence[order][first], self.segment[order][first]
+
+    def odds(self) -> np.ndarray:
+        """How much likelier a segment is in a toxic row than in a clean one, in logarithms, counting each row once."""
+        doc = self.doc_of[self.sentence]
+        pairs = np.unique(doc * len(self.starts) + self.segment)
+        doc, seg = pairs // len(self.starts), pairs % len(self.starts)
+        n = [np.bincount(seg[self.toxic[doc] == k], minlength=len(self.starts)) for k in (0, 1)]
+        rows = [max(1, int((self.toxic == k).sum())) for k in (0, 1)]
+        return np.log((n[1] + 0.5) / (rows[1] + 1)) - np.log((n[0] + 0.5) / (rows[0] + 1))
+
+
+def _examples(sample: Sample, margin: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
+    """(segments, labels) that stand for labelled sentences: of a toxic row the sentence of highest margin, and its next ones
+    while their margins are positive; of the clean rows the sentences of highest margins and a draw of all."""
+    sentence, segment = sample.telling(margin)
+    doc = sample.doc_of[sentence]
+    order = np.lexsort((-margin[segment], doc))
+    sentence, segment, doc = sentence[order], segment[order], doc[order]
+    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    bad = sample.toxic[doc] == 1
+    pos = bad & ((rank == 0) | ((rank < SENTENCES) & (margin[segment] > 0)))
+    clean = np.flatnonzero(~bad)
+    hard = clean[np.argsort(-margin[segment[clean]], kind="stable")[:NEGATIVES]]
+    neg = np.unique(np.concatenate([hard, rng.permutation(clean)[:NEGATIVES]])).astype(int)
+    return np.concatenate([segment[pos], segment[neg]]), np.concatenate([np.ones(int(pos.sum())), -np.ones(len(neg))])
 
 
 def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, seed: int = 11):
-    """(weights of subsequences, bias, calibration) from labelled texts."""
+    """(weights of subsequences, bias, calibration) from labelled texts.
+
+    Only whole texts are labelled, so which sentences of a toxic one are toxic is learnt with the machine: a first guess
+    by odds, then rounds in which the machine is trained on labelled sentences and chooses them anew.
+    """
     rng = np.random.default_rng(seed)
-    data, at = flat(pa.array(texts, pa.large_string()))
-    codes, starts, ends, row, keys = _gathered(data, at)
-    names, where, which = np.unique(keys, return_index=True, return_inverse=True)
-    pairs = np.unique(which.astype(np.int64) * len(texts) + row)
-    seg, doc = pairs // len(texts), pairs % len(texts)
-    bad = np.bincount(seg[toxic[doc] == 1], minlength=len(names))
-    good = np.bincount(seg[toxic[doc] == 0], minlength=len(names))
-    n_bad, n_good = max(1, int((toxic == 1).sum())), max(1, int((toxic == 0).sum()))
-    odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
-    # Sentences of toxic rows are labelled by the segments that set toxic rows apart.
-    strength = np.where((bad >= max(2, 0.002 * n_bad)) & (odds > 1.5), odds * np.sqrt(bad), 0)
-    ranked = np.argsort(-strength, kind="stable")
-    lead = ranked[: landmarks // 2][strength[ranked[: landmarks // 2]] > 0]
-    clean = np.flatnonzero((good > 0) & (strength == 0))
-    if not len(lead) or not len(clean):
-        return np.zeros((LETTERS**3, 1), np.float32), FLOOR, np.array([0.0, 0.0, np.log((n_bad + 0.5) / (n_good + 0.5))])
-    take = lambda s: codes[starts[where[s]] : ends[where[s]]]
-    near = project(codes, starts[where[clean]], ends[where[clean]], _explicit([take(s) for s in lead])).max(1)
-    hard = clean[np.argsort(-near, kind="stable")]
-    rest = landmarks - len(lead)
-    marks = [take(s) for s in [*lead, *hard[: rest // 2], *rng.permutation(clean)[: rest - rest // 2]]]
-    basis = _explicit(marks)
-    gram = basis.T.astype(float) @ basis
-    value, vector = np.linalg.eigh(gram)
-    white = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
-    # Positive segments, as they are and with letters put in; negative ones are the nearest and a draw of all.
-    pos = [take(s) for s in lead for _ in range(12)]
-    noisy = [s if k % 3 == 0 else np.insert(s, rng.integers(1, len(s), 1 + k % 2), rng.integers(0, 26, 1 + k % 2))[:WIDEST] for k, s in enumerate(pos)]
-    neg = [take(s) for s in np.unique(np.concatenate([hard[:3000], rng.permutation(clean)[:5000]]))]
-    every = [*noisy, *neg]
-    edge = np.concatenate([[0], np.cumsum([len(s) for s in every])])
-    x = project(np.concatenate(every), edge[:-1], edge[1:], basis) @ white
-    y = np.where(np.arange(len(every)) < len(noisy), 1.0, -1.0)
-    weight = np.where(y > 0, len(every) / (2 * len(noisy)), len(every) / (2 * len(neg)))
-    w = _svm(x, y, weight, rng)
-    primal = (basis @ (white @ w[:-1])).astype(np.float32)[:, None]
-    margin = project(codes, starts[where], ends[where], primal)[:, 0] + w[-1]
-    return primal, float(w[-1]), _calibrate(_by_row(margin[which], row, len(texts)), toxic)
+    sample = Sample(texts, toxic)
+    n_bad, n_good = int((toxic == 1).sum()), int((toxic == 0).sum())
+    if not n_bad or not n_good or not len(sample.starts):
+        return np.zeros((LETTERS**3, 1), np.float32), FLOOR, np.array([0.0, 0.0, 0.0, np.log((n_bad + 0.5) / (n_good + 0.5))])
+    margin = sample.odds()
+    every = np.arange(len(sample.starts))
+    for _ in range(ROUNDS):
+        which, y = _examples(sample, margin, rng)
+        # Landmarks: what stands for most toxic sentences, what is likest to it in clean ones, and a draw.
+        seen, n = np.unique(which[y > 0], return_counts=True)
+        lead = seen[np.argsort(-n, kind="stable")][: landmarks // 2]
+        rest = np.setdiff1d(which[y < 0], lead)
+        hard = rest[np.argsort(-margin[rest], kind="stable")][: (landmarks - len(lead)) // 2]
+        draw = rng.permutation(np.setdiff1d(rest, hard))[: landmarks - len(lead) - len(hard)]
+        basis = _explicit([sample.text(k) for k in (*lead, *hard, *draw)])
+        used = basis[basis.any(1)].astype(float)
+        value, vector = np.linalg.eigh(used.T @ used)
+        white = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
+        # Each example as it is, and the toxic ones with letters put in besides.
+        noisy = [np.insert(t, rng.integers(1, len(t), 1 + k % 2), rng.integers(0, 26, 1 + k % 2))[:WIDEST].astype(t.dtype) for k, t in enumerate(sample.text(i) for i in which[y > 0])]
+        edge = np.concatenate([[0], np.cumsum([len(s) for s in noisy])]).astype(int)
+        x = np.concatenate([sample.projected(which, basis), project(np.concatenate(noisy), edge[:-1], edge[1:], basis)]) @ white
+        target = np.concatenate([y, np.ones(len(noisy))])
+        weight = np.where(target > 0, len(target) / (2 * (target > 0).sum()), len(target) / (2 * max(1, (target < 0).sum())))
+        w = _svm(x, target, weight, rng)
+        primal = (basis @ (white @ w[:-1])).astype(np.float32)[:, None]
+        margin = sample.projected(every, primal)[:, 0] + w[-1]
+    doc = sample.doc_of[sample.sentence]
+    return primal, float(w[-1]), _calibrate(_by_row(margin[sample.segment], doc, sample.rows), toxic)
 
 
 def _score(primal, bias, calibration):
@@ -253,7 +331,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int
     """One row per document: (doc_id, held_out, score, predicted).
 
     Learns from labelled rows outside the held-out fold, at most ``sample`` of each class; a null label or text
-    is no example. Null, empty and wordless texts get the score of a text without segments. Repeated rows get
+    is no example, and an id that is labelled both ways is a toxic one. Words of one or two letters are read where three
+    or more stand in a row, and not otherwise. Null, empty and wordless texts get the score of a text without segments. Repeated rows get
     the same score. Without examples all scores are alike. An empty table gives no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold(F.col("doc_id"), folds) == held).alias("held_out"))
@@ -262,9 +341,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int
     for value, most in zip((1, 0), sample, strict=True):
         for r in marks.filter(F.col("toxic") == value).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect():
             known.setdefault(r["doc_id"], value)
-    rows = base.filter(F.col("doc_id").isin(list(known)) & F.col("text").isNotNull()).select("doc_id", "text").collect() if known else []
-    rows = sorted({(r["doc_id"], r["text"]) for r in rows})
-    primal, bias, calibration = fit([t for _, t in rows], np.array([known[i] for i, _ in rows])) if rows else (np.zeros((LETTERS**3, 1), np.float32), FLOOR, np.zeros(3))
+    rows = sampled(base.filter(F.col("doc_id").isin(list(known)) & F.col("text").isNotNull()).select("doc_id", "text"), sum(sample)) if known else []
+    nothing = np.zeros((LETTERS**3, 1), np.float32), FLOOR, np.zeros(4)
+    primal, bias, calibration = fit([r["text"] for r in rows], np.array([known[r["doc_id"]] for r in rows])) if rows else nothing
     scored = in_arrow(base.select("doc_id", "held_out", "text"), _score(primal, bias, calibration), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
