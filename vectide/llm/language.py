@@ -1,9 +1,9 @@
 """Language identification: multinomial logistic regression on TF-IDF character n-grams.
 
-N-grams of one to three bytes pairs with word edges are hashed to a fixed number of buckets. Document
-frequencies come from all learning documents; the weights from a bounded sample, by follow-the-regularised-
-leader with an elastic-net penalty, whose L1 part leaves most buckets at zero. A temperature fitted on a
-slice that the weights didn't see turns scores to probabilities.
+N-grams of one to three characters (code points; runs across word edges see them as spaces) are hashed to a
+fixed number of buckets. Document frequencies come from all learning documents; the weights from a bounded
+sample, by follow-the-regularised-leader with an elastic-net penalty, whose L1 part leaves most buckets at
+zero. A temperature fitted on a slice that the weights didn't see turns scores to probabilities.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import LOWER, flat, in_arrow, steps, table
+from vectide.llm.common import flat, in_arrow, sampled, steps, table
 
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
-#: The weights are fitted on at most so many rows of each language, taken by the digest of doc_id.
+#: The weights are fitted on at most so many distinct rows of each language, taken by the digest of the row, and on so many
+#: languages, the most frequent ones; SAMPLE_CHARS bounds a row's text.
 SAMPLE = 600
+LANGS = 512
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 FOLDS, HELD = 5, 0
@@ -32,21 +34,39 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)), F.lit(1))
 
 
+def characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a flat UTF-8 buffer, and each row's offset into them."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    out = data[lead].astype(np.uint32)
+    more = np.flatnonzero(out >= 0x80)
+    if len(more):
+        padded = np.concatenate([data, np.zeros(3, np.uint8)])
+        first, spot = out[more], lead[more]
+        low = [(padded[spot + k] & 0x3F).astype(np.uint32) for k in (1, 2, 3)]
+        two = (first & 0x1F) << 6 | low[0]
+        three = (first & 0x0F) << 12 | low[0] << 6 | low[1]
+        four = (first & 0x07) << 18 | low[0] << 12 | low[1] << 6 | low[2]
+        out[more] = np.where(first < 0xE0, two, np.where(first < 0xF0, three, four))
+    return out, np.searchsorted(lead, at)
+
+
+_PLAIN = np.array([c if 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(128)], np.uint32)
+
+
 def counts(data: np.ndarray, at: np.ndarray):
-    """The (buckets, counts) of each row's n-grams; letters A-Z in lower case, digits and signs as spaces."""
-    plain = LOWER.copy()
-    plain[:128] = [b if 97 <= b <= 122 else 32 for b in plain[:128]]
+    """The (buckets, counts) of each row's n-grams of characters; letters A-Z in lower case, digits and signs as spaces."""
     for i, j in steps(at):
-        piece = plain[data[at[i] : at[j]]].astype(np.uint32)
-        mask = np.uint32(BUCKETS - 1)
+        piece, bounds = characters(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        ascii_ = piece < 128
+        piece[ascii_] = _PLAIN[piece[ascii_]]
         keys, code = [], np.zeros(len(piece), np.uint32)
         for k in range(max(ORDERS)):
-            code = code * np.uint32(257)
+            code = code * np.uint32(0x01000193)
             code[: len(piece) - k] += piece[k:] + np.uint32(1)
             h = (code ^ np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-            keys.append(((h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(16) & mask).astype(np.int64))
-        for r in range(i, j):
-            a, b = int(at[r] - at[i]), int(at[r + 1] - at[i])
+            keys.append(((h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(16) & np.uint32(BUCKETS - 1)).astype(np.int64))
+        for r in range(j - i):
+            a, b = int(bounds[r]), int(bounds[r + 1])
             out = np.bincount(np.concatenate([keys[k][a : max(a, b - k)] for k in range(max(ORDERS))]), minlength=BUCKETS)
             on = np.flatnonzero(out)
             yield on, out[on]
@@ -154,16 +174,12 @@ def learn(docs: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = S
     """(languages, weights, IDF, temperature) from text and non-null lang of rows outside the held-out fold."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter((fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    total = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
     if not total:
         return [], np.zeros((1, BUCKETS), np.float32), np.ones(BUCKETS, np.float32), 1.0
-    # The sample: about so many rows of each language by digest, then the least digests of those.
-    share = F.create_map(*(F.lit(v) for lang, n in total.items() for v in (lang, min(1.0, 1.5 * sample / n + 20 / n))))
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
     by: dict[str, list] = {}
-    for r in sorted(drawn.select("lang", "text", F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: (r["h"], r["lang"], r["text"])):
-        if len(rows := by.setdefault(r["lang"], [])) < sample:
-            rows.append((r["text"], r["lang"]))
+    for r in sampled(known.filter(F.col("lang").isin([r["lang"] for r in total])), sample, "lang"):
+        by.setdefault(r["lang"], []).append((r["text"], r["lang"]))
     idf = inverse_frequencies(known).astype(np.float32)
     mixed = [row for group in zip(*(v * -(-sample // len(v)) for v in by.values()), strict=False) for row in group]
     langs, w, temperature = fit(mixed, idf)
