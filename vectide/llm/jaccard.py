@@ -109,8 +109,7 @@ def _whole_sets(batches):
         for batch in batches:
             data, at = flat(batch.column("text"))
             found = list(shingle_sets(data, at))
-            prints = [_print(x) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in found], pa.int64()), pa.array(prints, pa.binary()), _lists([x.view(np.int64) for x in found])], ["n", "fp", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in found], pa.int64()), _lists([x.view(np.int64) for x in found])], ["id", "n", "members"])
 
 
 def _overlaps(deltas: bool):
@@ -204,12 +203,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame,
     least = F.floor(F.ceil(F.col("n") * NUMER / DENOM) / 16) + 1
     likely = low.join(common, "h").groupBy("id").agg(F.count("*").alias("met")).join(group.drop("low"), "id").filter(F.col("met") >= least).select("id", "fp", "n", "least", F.col("mark").alias("of"))
     likely = keep(spark, likely, "likely")
-    # One text of each group, by its least doc_id and mark; equal rows give it more than once.
-    wanted = likely.select(F.col("least").alias("of_id"), "of").distinct()
-    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of")), "left_semi")
-    sets = in_arrow(texts.select("text"), _whole_sets, "n long, fp binary, members array<long>").join(likely.select("id", "fp", "n"), ["fp", "n"])
-    sets = keep(spark, sets.dropDuplicates(["fp", "n"]).select("id", "n", "members"), "sets")
-    forget(common, likely)
+    # One text of each group, by its least doc_id and mark. Where several rows have both, one of them: sets then need no
+    # shuffle to be told apart.
+    texts = base.join(likely.select("id", F.col("least").alias("of_id"), "of"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of"))).select("id", "text")
+    twice = sketch.groupBy(F.col("doc_id").alias("of_id"), F.col("mark").alias("of")).agg(F.count("*").alias("rows")).filter("rows > 1")
+    twice = keep(spark, likely.join(twice, F.col("least").eqNullSafe(F.col("of_id")) & (likely["of"] == twice["of"])).select("id"), "twice")
+    if not twice.isEmpty():
+        texts = texts.join(twice, "id", "left_anti").unionByName(texts.join(twice, "id", "left_semi").dropDuplicates(["id"]))
+    sets = keep(spark, in_arrow(texts, _whole_sets, "id long, n long, members array<long>"), "sets")
+    forget(common, likely, twice)
 
     # The likely sets whole: those with too many hashes of their own go, the others post their rarest repeated ones.
     whole = sets.select("id", F.explode("members").alias("h"))
