@@ -10,7 +10,7 @@ import pytest
 from vectide.plans import catalog
 
 D = "/root/testdata/sf0.001"
-FAST = ["vec_dot", "vec_norms", "vec_cosine", "vec_col_stats", "range_within_eps", "searcher_add_size", "searcher_remove", "knn_brute_l2", "knn_batch", "knn_expansion", "proj_index", "knn_projection", "knn_fast_pending", "lsh_hash", "knn_lsh", "knn_lsh_raise", "recall_lsh", "distance_cutoff", "nearest_centroid", "centroid_gap", "seed_first_probability", "ball_iteration_1", "streaming_kmeans_weight", "streaming_incremental", "hypercube_corners", "csv_sink_roundtrip", "tok_counts", "tfidf_lic", "tfidf_xxx", "header_split", "quoted_line_filter"]
+FAST = ["vec_dot", "vec_norms", "vec_cosine", "vec_col_stats", "range_within_eps", "searcher_add_size", "searcher_remove", "knn_brute_l2", "knn_batch", "knn_expansion", "proj_index", "knn_projection", "knn_fast_pending", "lsh_hash", "knn_lsh", "knn_lsh_raise", "recall_lsh", "distance_cutoff", "nearest_centroid", "centroid_gap", "seed_first_probability", "ball_iteration_1", "streaming_kmeans_weight", "streaming_incremental", "lsh_sweep", "knn_single_projection", "overlap_at_depth", "rmse_exact_and_approximate", "singular_value_energy", "streaming_kmeans_weight_hash", "split_blocks", "hypercube_corners", "csv_sink_roundtrip", "tok_counts", "tfidf_lic", "tfidf_xxx", "header_split", "quoted_line_filter"]
 
 
 def plain(x):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import basis as bases
 from vectide.functions import vec
-from vectide.operators import cluster, search, text
+from vectide.operators import cluster, search, searchers, text
 from vectide.operators import points as pts
 from vectide.sources import files, generate
 
@@ -108,6 +108,104 @@ def test_hypercube_sketch(spark):
     assert np.allclose(np.sort(c, 0), np.sort(np.array([r["v"] for r in again.collect()]), 0))
 
 
+@pytest.mark.parametrize("index", ["brute", "projection", "hash"])
+def test_corners_over_three_indexes(spark, index):
+    points, means = generate.hypercube(spark, 8000, 3, seed=9)
+    got = cluster.streaming_kmeans(points, 8, cutoff=0.01, seed=1, index=index)
+    c = np.array([r["v"] for r in got.collect()])
+    assert got.agg(F.sum("w")).first()[0] == pytest.approx(8000, abs=1e-6)
+    assert all(np.sqrt(((c - corner["v"]) ** 2).sum(1)).min() < 0.05 for corner in means.collect())
+
+
+@pytest.mark.parametrize("kind", sorted(searchers.SEARCHERS))
+def test_searchers(kind):
+    x = np.random.default_rng(3).normal(size=(400, 6))
+    index = searchers.create(kind, 6)
+    assert index.nearest(x[0]) == (-1, math.inf) and not index.remove(x[0], 9.0)
+    assert index.add_all(x) == list(range(400)) and index.size() == 400 == len(list(index))
+    exact = [np.sqrt(((x - q) ** 2).sum(1)).argmin() for q in x + 0.01]
+    assert all(index.nearest(x[k]) == (k, 0.0) for k in range(400))
+    assert np.mean([index.nearest(q)[0] == e for q, e in zip(x + 0.01, exact, strict=True)]) > 0.9
+    assert index.remove(x[7], 0.1) and index.size() == 399 and index.nearest(x[7])[0] != 7
+    assert not index.remove(x[8] + 100, 1.0)
+    index.move(9, x[9] + 50)
+    assert index.nearest(x[9] + 50) == (9, 0.0) and index.nearest(x[9])[0] != 9
+    found = index.search(x[3], 5)
+    assert [d for _, d in found] == sorted(d for _, d in found) and found[0] == (3, 0.0)
+    index.clear()
+    assert index.size() == 0 and index.search(x[0], 2) == []
+    searchers.register("mine", searchers.BruteSearcher)
+    assert isinstance(searchers.create("mine", 2), searchers.BruteSearcher) and searchers.SEARCHERS.pop("mine")
+
+
+def test_fast_index_clears(spark):
+    index = search.FastIndex(frame(spark, np.ones((3, 2))), bases.gaussian(2, 2), 5).clear()
+    assert index.size() == 0 and index.search(queries(spark, np.ones((1, 2))), 2).count() == 0
+
+
+def test_sign_hashes_look_within_the_cutoff_alone(spark):
+    """Distances computed are the candidates, and blocks of queries change nothing."""
+    x = np.random.default_rng(12).normal(size=(400, 8))
+    points, asked, bits = frame(spark, x), queries(spark, x[:20]), bases.gaussian(64, 8, 5)
+    plan = search.lsh_candidates(points, asked, bits, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "bit_count" in plan.split("BroadcastNestedLoopJoin", 1)[1].split("\n")[0]
+    hashes = [sum((float(np.dot(v, b)) > 0) << k for k, b in enumerate(bits)) for v in x]
+    got = {}
+    for r in search.lsh_candidates(points, asked, bits, 30).collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    for q in range(20):
+        apart = np.array([(hashes[q] ^ h).bit_count() for h in hashes])
+        cutoff = min(64, int(np.sort(apart)[30]) + 1)
+        assert got[q] == set(np.flatnonzero(apart <= cutoff).tolist())
+
+
+def test_queries_in_blocks_find_the_same(spark, monkeypatch):
+    x = np.random.default_rng(12).normal(size=(200, 8))
+    points, asked, bits = frame(spark, x), queries(spark, x[:20]), bases.gaussian(64, 8, 5)
+    take = lambda: sorted((r["query_id"], r["rank"], r["neighbor_id"]) for r in search.lsh(points, asked, 4, bits, 30, 0.3).collect())
+    whole = take()
+    monkeypatch.setattr(search, "MAX_BROADCAST", 7)
+    assert take() == whole
+
+
+def test_recall_with_structure(spark):
+    """Sign hashes and projections on data with clusters, at sizes that reach nine tenths."""
+    rows = generate.lumpy(spark, 1500, 10, seed=4)
+    q = rows.filter("id < 30").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    exact = search.brute(rows, q, 10, dim=10)
+    mean = lambda found: search.overlap(found, exact).agg(F.avg("overlap")).first()[0] / 10
+    assert mean(search.lsh(rows, q, 10, bases.gaussian(64, 10, 3), 200)) >= 0.9
+    assert mean(search.projection(rows, q, 10, bases.gaussian(10, 10, 3), 60)) >= 0.9
+
+
+def test_nearest_without_shuffles(spark):
+    x, c = np.random.default_rng(3).normal(size=(300, 5)), np.random.default_rng(4).normal(size=(9, 5))
+    c[5] = c[2]
+    points, centres = frame(spark, x, w=1 + np.arange(300) % 3), frame(spark, c)
+    for metric in ("euclidean", "manhattan", "cosine", "sqeuclidean"):
+        found = cluster.nearest(points, centres, metric)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        vec.register("plain", vec.METRICS[metric])
+        other = {r["id"]: (r["centroid_id"], round(r["distance"], 9)) for r in cluster.nearest(points, centres, "plain").collect()}
+        assert {r["id"]: (r["centroid_id"], round(r["distance"], 9)) for r in found.collect()} == other
+        step = lambda m: {r["id"]: (r["w"], np.round(r["v"], 9).tolist()) for r in cluster.ball_step(points, centres.filter("id <> 5"), 0.9, m).collect()}
+        assert step(metric) == step("plain")
+    vec.METRICS.pop("plain")
+    assert cluster.nearest(points, centres.limit(0)).count() == 0
+
+
+def test_singular_values(spark):
+    x = np.random.default_rng(3).normal(size=(70, 5))
+    assert np.allclose(cluster.singular_values(frame(spark, x).repartition(4)), np.linalg.svd(x, compute_uv=False))
+    assert cluster.singular_values(frame(spark, x).limit(0)) == []
+
+
+def test_split_towards_clusters_a_split(spark):
+    points, _ = generate.hypercube(spark, 4000, 3, seed=9)
+    got = cluster.split_kmeans(points, 8, 3, cutoff=0.01, seed=1)
+    assert got.agg(F.sum("w")).first()[0] == pytest.approx(4000, abs=1e-6) and 8 <= got.count()
+
+
 def test_ball_kmeans_finds_the_axes(spark):
     got = cluster.ball_kmeans(generate.cubish(spark, 0.01), 6, 8, seed=2)
     norms = sorted(round(math.sqrt(sum(x * x for x in r["v"])), 1) for r in got.collect())
@@ -129,8 +227,13 @@ def test_cutoff_of_few_points(spark):
 def test_mail_headers_and_quotes(spark):
     mail = "Subject: Tea\nX: y\n\nhello World\n> quoted\nIn article 5\nJoe writes:\n|>\n|> kept"
     docs = spark.createDataFrame([(1, mail), (2, None)], "doc_id long, text string")
-    words = {r["word"] for r in text.tokens(docs, ["subject"], keep_quotes=False, has_headers=True).collect()}
-    assert words == {"tea", "hello", "world", "kept"}
+    for end in ("\n", "\r\n", "\r"):
+        mixed = docs.withColumn("text", F.regexp_replace("text", "\n", end))
+        words = {r["word"] for r in text.tokens(mixed, ["subject"], keep_quotes=False, has_headers=True).collect()}
+        assert words == {"tea", "hello", "world", "kept"}
+    assert text.tokens(docs.filter("text is null")).count() == 0
+    plain = {(r["doc_id"], r["word"], r["tf"]) for r in text.tokens(docs).collect()}
+    assert plain == {(r["doc_id"], r["word"], r["tf"]) for r in text.counted(text.parts(docs, False).select("doc_id", "line")).collect()}
 
 
 def test_files(spark, tmp_path):

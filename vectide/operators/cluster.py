@@ -1,23 +1,26 @@
 """Clustering of weighted points: a one-pass sketch by shards, and trimmed ball k-means.
 
-centroids: id BIGINT, w DOUBLE, v ARRAY<DOUBLE>. A sketch is sequential within a shard; shards are keyed by
-``pmod(id, shards)``, read in id order and seeded by (seed, shard), so the result depends on the parameters and
-not on Spark's partitioning.
+centroids: id BIGINT, w DOUBLE, v ARRAY<DOUBLE>. A sketch is sequential within a shard. By default the input's
+partitions are the shards, read as they come, without a shuffle. With a number of shards these are keyed by
+``pmod(id, shards)``, read in id order and seeded by (seed, shard), so that the result depends on the parameters and
+not on Spark's partitioning, at the price of a shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.functions import vec
-from vectide.operators.search import paired
+from vectide.operators.search import MAX_BROADCAST, paired, projection
+from vectide.operators.searchers import UpdatableSearcher, create
 from vectide.plans.ship import ship
 from vectide.plans.store import keep
 
@@ -26,7 +29,10 @@ CENTROIDS = "id long, w double, v array<double>"
 
 @dataclass
 class Sketch:
-    """State of the one-pass sketch: centroids with weights, the distance cutoff and the target number of clusters."""
+    """State of the one-pass sketch: centroids with weights, the distance cutoff and the target number of clusters.
+
+    ``index`` names the searcher that the centroids are kept in, or makes one of a dimension.
+    """
 
     target: int
     cutoff: float
@@ -35,7 +41,8 @@ class Sketch:
     overshoot: float = 0.2
     seed: int = 0
     count: int = 0
-    v: np.ndarray | None = None
+    index: str | Callable[[int], UpdatableSearcher] = "brute"
+    at: UpdatableSearcher | None = None
     w: list[float] = field(default_factory=list)
     rng: np.random.Generator | None = None
 
@@ -45,29 +52,26 @@ class Sketch:
 
     def _place(self, x: np.ndarray, weight: float) -> None:
         """Merge into the nearest centroid, or open one with probability distance / cutoff."""
-        n = len(self.w)
-        if n == 0:
-            self.v = np.empty((16, len(x)))
-        else:
-            d = np.sqrt(((self.v[:n] - x) ** 2).sum(1))
-            near = int(d.argmin())
-            opens = d[near] > 0 if self.cutoff <= 0 else self.rng.random() < d[near] / self.cutoff
+        if self.at is None:
+            self.at = create(self.index, len(x))
+        near, d = self.at.nearest(x)
+        if near >= 0:
+            opens = d > 0 if self.cutoff <= 0 else self.rng.random() < d / self.cutoff
             if not opens:
                 whole = self.w[near] + weight
                 if whole > 0:
-                    self.v[near] += (x - self.v[near]) * (weight / whole)
+                    self.at.move(near, self.at.v[near] + (x - self.at.v[near]) * (weight / whole))
                 self.w[near] = whole
                 return
-        if n == len(self.v):
-            self.v = np.concatenate([self.v, np.empty_like(self.v)])
-        self.v[n] = x
+        self.at.add(x)
         self.w.append(weight)
 
     def _collapse(self) -> None:
         """Re-cluster the centroids themselves in random order; raise the cutoff if that left too many."""
         self.target = int(max(self.target, self.log_factor * math.log(max(self.count, 1))))
-        old_v, old_w = self.v[: len(self.w)].copy(), self.w
-        self.w, self.v = [], np.empty((16, old_v.shape[1]))
+        old_v, old_w = self.centroids()
+        self.w = []
+        self.at.clear()
         for k in self.rng.permutation(len(old_w)):
             self._place(old_v[k], old_w[k])
         if len(self.w) > self.overshoot * self.target:
@@ -85,7 +89,14 @@ class Sketch:
         return self
 
     def centroids(self) -> tuple[np.ndarray, np.ndarray]:
-        return (self.v[: len(self.w)], np.array(self.w)) if self.w else (np.zeros((0, 0)), np.zeros(0))
+        return (self.at.v[: len(self.w)].copy(), np.array(self.w)) if self.w else (np.zeros((0, 0)), np.zeros(0))
+
+    def restore(self, v: np.ndarray, w: list[float]) -> Sketch:
+        """Take centroids as they are."""
+        self.w, self.at = list(w), create(self.index, v.shape[1]) if len(v) else None
+        if len(v):
+            self.at.add_all(v)
+        return self
 
 
 def distance_cutoff(points: DataFrame, sample: int = 100, metric: str = "euclidean") -> DataFrame:
@@ -96,8 +107,9 @@ def distance_cutoff(points: DataFrame, sample: int = 100, metric: str = "euclide
     return a.join(b, F.col("i") < F.col("j")).agg(F.coalesce(least, F.lit(float("inf"))).alias("cutoff"))
 
 
-def shard_sketches(points: DataFrame, start: Sketch, shards: int = 8) -> DataFrame:
-    """(shard, cutoff, count, w, v): each shard's centroids after one pass in id order."""
+def shard_sketches(points: DataFrame, start: Sketch, shards: int | None = None) -> DataFrame:
+    """(shard, cutoff, count, w, v): each shard's centroids after one pass. No shards given: each partition of the input is
+    one, in the order in which it is read."""
     ship(points.sparkSession)
     schema = "shard long, cutoff double, count long, w double, v array<double>"
 
@@ -105,18 +117,22 @@ def shard_sketches(points: DataFrame, start: Sketch, shards: int = 8) -> DataFra
         states: dict[int, Sketch] = {}
         for pdf in frames:
             for shard, rows in pdf.groupby("shard", sort=True):
-                state = states.setdefault(shard, replace(start, seed=start.seed * 1_000_003 + int(shard), rng=None, w=[], v=None))
+                state = states.setdefault(shard, replace(start, seed=start.seed * 1_000_003 + int(shard), rng=None, w=[], at=None))
                 state.extend(np.stack(rows["v"].to_numpy()), rows["w"].to_numpy())
         for shard, state in states.items():
             v, w = state.centroids()
             yield pd.DataFrame({"shard": shard, "cutoff": state.cutoff, "count": state.count, "w": w, "v": list(v)})
 
-    dealt = points.withColumn("shard", F.pmod("id", F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", "id")
+    if shards is None:
+        dealt = points.withColumn("shard", F.spark_partition_id().cast("long"))
+    else:
+        dealt = points.withColumn("shard", F.pmod("id", F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", "id")
     return dealt.select("shard", "w", "v").mapInPandas(run, schema)
 
 
-def merged(sketches: DataFrame, start: Sketch) -> DataFrame:
-    """Centroids of the shards' centroids: one more pass over them from the least of their cutoffs.
+def merged(sketches: DataFrame, start: Sketch, per_shard: bool = False) -> DataFrame:
+    """Centroids of the shards' centroids: one more pass over them from the least of their cutoffs, towards target * ln(rows)
+    centroids, or target * shards if ``per_shard``.
 
     The input is bounded: at most target + log_factor * ln(rows) centroids a shard.
     """
@@ -124,20 +140,27 @@ def merged(sketches: DataFrame, start: Sketch) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["shard", "place"])
-        total = int(pdf.drop_duplicates("shard")["count"].sum())
-        state = replace(start, target=int(max(start.target, start.target * math.log(max(total, 2)))), cutoff=float(pdf["cutoff"].min()), rng=None, w=[], v=None)
+        each = pdf.drop_duplicates("shard")
+        times = len(each) if per_shard else math.log(max(int(each["count"].sum()), 2))
+        state = replace(start, target=int(max(start.target, start.target * times)), cutoff=float(pdf["cutoff"].min()), rng=None, w=[], at=None)
         v, w = state.extend(np.stack(pdf["v"].to_numpy()), pdf["w"].to_numpy()).centroids()
         return pd.DataFrame({"id": np.arange(len(w)), "w": w, "v": list(v)})
 
     return sketches.withColumn("place", F.monotonically_increasing_id()).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, CENTROIDS)
 
 
-def streaming_kmeans(points: DataFrame, k: int, shards: int = 8, cutoff: float | None = None, seed: int = 0, **options) -> DataFrame:
-    """One-pass sketch of about k ln(n) weighted centroids: shards side by side, then their union. No points: no rows."""
+def streaming_kmeans(points: DataFrame, k: int, shards: int | None = None, cutoff: float | None = None, seed: int = 0, per_shard: bool = False, **options) -> DataFrame:
+    """One-pass sketch of about k ln(n) weighted centroids: shards side by side, then their union. No points: no rows.
+    ``options`` are those of ``Sketch``, its index among them."""
     if cutoff is None:
         cutoff = distance_cutoff(points).first()["cutoff"]
     start = Sketch(k, cutoff if math.isfinite(cutoff) else 1.0, seed=seed, **options)
-    return merged(keep(points.sparkSession, shard_sketches(points, start, shards), "sketches"), start)
+    return merged(keep(points.sparkSession, shard_sketches(points, start, shards), "sketches"), start, per_shard)
+
+
+def split_kmeans(points: DataFrame, k: int, splits: int, seed: int = 0, **options) -> DataFrame:
+    """The sketch over contiguous blocks of ids, towards splits * k centroids in the end."""
+    return streaming_kmeans(split(points, splits).select(*points.columns), k, seed=seed, per_shard=True, **options)
 
 
 # --- means ------------------------------------------------------------------------------------------------
@@ -192,12 +215,58 @@ def seeds(points: DataFrame, k: int, seed: int = 0) -> list[tuple[int, list[floa
 # --- assignment and ball k-means --------------------------------------------------------------------------
 
 
+def _numpy_distances(metric: str, x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """(rows, centroids) distances, with differences taken one by one, as the Column forms do."""
+    if metric == "cosine":
+        return 1 - (x @ c.T) / np.sqrt((x * x).sum(1)[:, None] * (c * c).sum(1)[None])
+    out = np.empty((len(x), len(c)))
+    for k in range(len(c)):
+        diff = x - c[k]
+        out[:, k] = np.abs(diff).sum(1) if metric == "manhattan" else (diff * diff).sum(1)
+    return np.sqrt(out) if metric == "euclidean" else out
+
+
+IN_NUMPY = ("euclidean", "sqeuclidean", "manhattan", "cosine")
+
+
+def _few(centroids: DataFrame, metric) -> tuple[np.ndarray, np.ndarray] | None:
+    """(ids, vectors) by id on the driver, where they are at most MAX_BROADCAST and numpy has the metric."""
+    if metric not in IN_NUMPY:
+        return None
+    rows = centroids.select("id", "v").limit(MAX_BROADCAST + 1).collect()
+    if len(rows) > MAX_BROADCAST:
+        return None
+    rows.sort(key=lambda r: r["id"])
+    return np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows], float)
+
+
+def _batches(frames: Iterator[pa.RecordBatch], metric: str, c: np.ndarray):
+    """(batch, vectors, place of the nearest centroid, distance); ties go to the first."""
+    for batch in frames:
+        if batch.num_rows and len(c):
+            x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+            d = _numpy_distances(metric, x, c)
+            best = d.argmin(1)
+            yield batch, x, best, d[np.arange(len(x)), best]
+
+
 def nearest(points: DataFrame, centroids: DataFrame, metric: str = "euclidean", dim: int | None = None) -> DataFrame:
-    """(id, centroid_id, distance): each point's nearest centroid; ties go to the smallest id."""
-    c = centroids.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    pairs = paired(points.select("id", "v"), c).select("id", "query_id", vec.distance(metric, "v", "q", dim).alias("d"))
-    best = pairs.groupBy("id").agg(F.min(F.struct("d", "query_id")).alias("m"))
-    return best.select("id", F.col("m.query_id").alias("centroid_id"), F.col("m.d").alias("distance"))
+    """(id, centroid_id, distance): each point's nearest centroid; ties go to the smallest id. Points stay where they are:
+    the centroids go to them, up to MAX_BROADCAST; more, or another metric, are met block by block."""
+    few = _few(centroids, metric)
+    if few is None:
+        c = centroids.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+        pairs = paired(points.select("id", "v"), c).select("id", "query_id", vec.distance(metric, "v", "q", dim).alias("d"))
+        best = pairs.groupBy("id").agg(F.min(F.struct("d", "query_id")).alias("m"))
+        return best.select("id", F.col("m.query_id").alias("centroid_id"), F.col("m.d").alias("distance"))
+    ids, c = few
+    ship(points.sparkSession)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, best, d in _batches(frames, metric, c):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids[best]), pa.array(d)], ["id", "centroid_id", "distance"])
+
+    return points.select("id", "v").mapInArrow(run, "id long, centroid_id long, distance double")
 
 
 def gaps(centroids: DataFrame, metric: str = "euclidean") -> DataFrame:
@@ -211,7 +280,10 @@ def gaps(centroids: DataFrame, metric: str = "euclidean") -> DataFrame:
 
 def ball_step(points: DataFrame, centroids: DataFrame, trim: float = 0.9, metric: str = "euclidean", dim: int | None = None) -> DataFrame:
     """One trimmed Lloyd step: weighted means of the points nearer than ``trim`` times their centroid's gap. A centroid
-    without such points keeps its place with weight 0."""
+    without such points keeps its place with weight 0. Each batch of points sends on one weighted sum a centroid."""
+    few = _few(centroids, metric)
+    if few is not None:
+        return _summed_step(points, centroids, few, trim, metric)
     rows = assigned(points, centroids, trim, metric, dim).filter("not trimmed")
     parts = rows.join(points.select("id", "w", "v"), "id").select("centroid_id", "w", F.posexplode("v").alias("pos", "x"))
     means = parts.groupBy("centroid_id", "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"), F.sum("w").alias("w"))
@@ -219,9 +291,33 @@ def ball_step(points: DataFrame, centroids: DataFrame, trim: float = 0.9, metric
     return centroids.join(moved, F.col("id") == F.col("centroid_id"), "left").select("id", F.coalesce("w_new", F.lit(0.0)).alias("w"), F.coalesce("v_new", "v").alias("v"))
 
 
+def _summed_step(points: DataFrame, centroids: DataFrame, few: tuple[np.ndarray, np.ndarray], trim: float, metric: str) -> DataFrame:
+    ids, c = few
+    ship(points.sparkSession)
+    gap = np.full(len(c), np.inf)
+    for k in range(len(c)):
+        others = np.delete(_numpy_distances(metric, c[k : k + 1], c)[0], k)
+        gap[k] = others.min(initial=np.inf)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, x, best, d in _batches(frames, metric, c):
+            w = batch.column("w").to_numpy()
+            near = d < trim * gap[best]
+            on, row = np.unique(best[near], return_inverse=True)
+            weight, total = np.zeros(len(on)), np.zeros((len(on), x.shape[1]))
+            np.add.at(weight, row, w[near])
+            np.add.at(total, row, x[near] * w[near][:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(weight), pa.array(list(total), pa.list_(pa.float64()))], ["centroid_id", "w", "total"])
+
+    sums = points.select("w", "v").mapInArrow(run, "centroid_id long, w double, total array<double>")
+    parts = sums.select("centroid_id", "w", F.posexplode("total").alias("pos", "x")).groupBy("centroid_id", "pos").agg((F.sum("x") / F.sum("w")).alias("x"), F.sum("w").alias("w"))
+    moved = parts.groupBy("centroid_id").agg(F.max("w").alias("w_new"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v_new"))
+    return centroids.join(moved, F.col("id") == F.col("centroid_id"), "left").select("id", F.coalesce("w_new", F.lit(0.0)).alias("w"), F.coalesce("v_new", "v").alias("v"))
+
+
 def assigned(points: DataFrame, centroids: DataFrame, trim: float = 0.9, metric: str = "euclidean", dim: int | None = None) -> DataFrame:
     """(id, centroid_id, distance, trimmed)."""
-    return nearest(points, centroids, metric, dim).join(F.broadcast(gaps(centroids, metric)), "centroid_id").select("id", "centroid_id", "distance", (F.col("distance") >= trim * F.col("gap")).alias("trimmed"))
+    return nearest(points, centroids, metric, dim).join(gaps(centroids, metric), "centroid_id").select("id", "centroid_id", "distance", (F.col("distance") >= trim * F.col("gap")).alias("trimmed"))
 
 
 def ball_kmeans(points: DataFrame, k: int, iterations: int = 20, trim: float = 0.9, seed: int = 0, start: DataFrame | None = None, tolerance: float = 0.0, metric: str = "euclidean") -> DataFrame:
@@ -240,7 +336,7 @@ def ball_kmeans(points: DataFrame, k: int, iterations: int = 20, trim: float = 0
     return start
 
 
-def sketch_then_ball(points: DataFrame, k: int, shards: int = 8, iterations: int = 20, seed: int = 0) -> DataFrame:
+def sketch_then_ball(points: DataFrame, k: int, shards: int | None = None, iterations: int = 20, seed: int = 0) -> DataFrame:
     """The two-stage clustering: the sketch's weighted centroids, refined to k."""
     return ball_kmeans(keep(points.sparkSession, streaming_kmeans(points, 10 * k, shards, seed=seed), "sketch"), k, iterations, seed=seed)
 
@@ -267,3 +363,35 @@ def weight_by_mean(centroids: DataFrame, means: DataFrame) -> DataFrame:
 def rmse(points: DataFrame, centroids: DataFrame, dim: int) -> DataFrame:
     """(rmse) of replacing each point by its nearest centroid, per component."""
     return nearest(points, centroids, dim=dim).agg(F.sqrt(F.avg(F.col("distance") * F.col("distance")) / dim).alias("rmse"))
+
+
+def rmse_both(points: DataFrame, centroids: DataFrame, basis: list[list[float]], search_size: int) -> DataFrame:
+    """(rmse, approximate): ``rmse``, and the same by nearest centroids from a projection search."""
+    dim = len(basis[0])
+    asked = points.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    found = projection(centroids.select("id", "v"), asked, 1, basis, search_size)
+    rough = found.agg(F.sqrt(F.avg(F.col("distance") * F.col("distance")) / dim).alias("approximate"))
+    return rmse(points, centroids, dim).join(rough, F.lit(True))
+
+
+def singular_values(points: DataFrame) -> list[float]:
+    """Those of the matrix whose rows are the points, largest first, by its Gram matrix: a sum of (dimension x dimension)
+    parts, one a batch."""
+    ship(points.sparkSession)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = None
+        for batch in frames:
+            if batch.num_rows:
+                x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+                gram = x.T @ x + (0 if gram is None else gram)
+        if gram is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(gram)), pa.int64()), pa.array(list(gram), pa.list_(pa.float64()))], ["i", "row"])
+
+    parts = points.select("v").mapInArrow(run, "i long, row array<double>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    if not parts:
+        return []
+    gram = np.zeros((max(r["i"] for r in parts) + 1,) * 2)
+    for r in parts:
+        gram[r["i"], r["j"]] = r["x"]
+    return [float(x) for x in np.sqrt(np.maximum(np.linalg.eigvalsh(gram), 0))[::-1]]

@@ -17,15 +17,21 @@ WORD = r"[\p{L}\p{Nd}./:]+"
 TERM: dict[str, Callable[[Column], Column]] = {"l": F.log1p, "t": lambda tf: tf.cast("double"), "s": F.sqrt, "x": lambda tf: F.lit(1.0)}
 
 
+def cut(text: Column | str) -> Column:
+    """The text's lines; a line ends with a line feed, with a carriage return, or with both."""
+    return F.split(F.coalesce(text, F.lit("")), "\r\n|\r|\n")
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    # The outer form, which is the same here as no text is without a line, spares a filter that would cut texts twice.
+    return docs.select("doc_id", F.posexplode_outer(cut("text")).alias("line_no", "line"))
 
 
 def parts(docs: DataFrame, has_headers: bool = True) -> DataFrame:
     """(doc_id, line_no, line, is_header, is_blank): lines up to the first empty one are headers."""
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    first = F.when(F.lit(has_headers), F.coalesce(F.nullif(F.array_position(split, F.lit("")), F.lit(0)) - 1, F.size(split))).otherwise(-1)
-    out = docs.select("doc_id", first.alias("body"), F.posexplode(split).alias("line_no", "line"))
+    split = docs.select("doc_id", cut("text").alias("lines"))
+    first = F.when(F.lit(has_headers), F.coalesce(F.nullif(F.array_position("lines", F.lit("")), F.lit(0)) - 1, F.size("lines"))).otherwise(-1)
+    out = split.select("doc_id", first.alias("body"), F.posexplode_outer("lines").alias("line_no", "line"))
     return out.select("doc_id", "line_no", "line", (F.col("line_no") < F.col("body")).alias("is_header"), (F.col("line_no") == F.col("body")).alias("is_blank"))
 
 
@@ -40,13 +46,21 @@ def unquoted(body: DataFrame) -> DataFrame:
     return body.filter(~F.col("line").rlike(QUOTED))
 
 
+def counted(text: DataFrame) -> DataFrame:
+    """(doc_id, word, tf) of rows (doc_id, line)."""
+    found = text.select("doc_id", F.explode_outer(F.regexp_extract_all(F.lower("line"), F.lit(WORD + "+"), F.lit(0))).alias("word"))
+    return found.filter("word is not null").groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
+
+
 def tokens(docs: DataFrame, wanted: list[str] | None = None, keep_quotes: bool = True, has_headers: bool = False) -> DataFrame:
     """(doc_id, word, tf): words of the body, and of the values of wanted headers."""
+    if keep_quotes and not wanted and not has_headers:  # every line counts, and no word goes beyond one
+        return counted(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("line")))
     body = parts(docs, has_headers).filter("not is_header and not is_blank").select("doc_id", "line")
     text = body if keep_quotes else unquoted(body)
     if wanted:
         text = text.unionByName(headers(docs, wanted).select("doc_id", F.col("value").alias("line")))
-    return text.select("doc_id", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
+    return counted(text)
 
 
 def document_frequency(tokens_: DataFrame) -> DataFrame:

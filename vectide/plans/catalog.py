@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.functions import basis as bases
@@ -346,6 +346,33 @@ def lsh_speedup(spark, d):
     return done.crossJoin(every).select(r9(F.col("m") / F.col("n"), "speedup"))
 
 
+_CHAIN = f"""lev AS (SELECT query_id, h, count(*) AS n, min(distance) AS least, quantile_cont(distance, 0.25) AS quartile FROM pair JOIN hp USING (query_id, id) WHERE h <= 32 GROUP BY query_id, h),
+        worst AS (SELECT query_id, max(distance) AS worst FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM lc) WHERE rank <= {SEARCH} GROUP BY query_id),
+        st AS (SELECT i, (i - 1) / 10.0::DOUBLE AS strategy FROM range(12) t(i)),
+        chain AS (SELECT i, query_id, h, strategy < 0 OR NOT (n > 10 AND strategy * quartile + (1 - strategy) * least < worst) AS stays, h - row_number() OVER (PARTITION BY i, query_id ORDER BY h) + 1 = cutoff AS steady FROM st, lev JOIN worst USING (query_id) JOIN cut USING (query_id) WHERE h >= cutoff AND h < 32),
+        good AS (SELECT i, query_id, max((stays OR NOT steady)::INT) OVER (PARTITION BY i, query_id ORDER BY h) AS bad FROM chain),
+        up AS (SELECT i, query_id, count(*) AS up FROM good WHERE bad = 0 GROUP BY i, query_id),
+        cut3 AS (SELECT i, query_id, cutoff + coalesce(up, 0) AS cutoff FROM st CROSS JOIN cut LEFT JOIN up USING (i, query_id)),
+        done AS (SELECT i, query_id, id, row_number() OVER (PARTITION BY i, query_id ORDER BY distance, id) AS rank FROM cut3 JOIN hp USING (query_id) JOIN pair USING (query_id, id) WHERE h <= cutoff),
+        o AS (SELECT i, query_id, count(ex.neighbor_id) AS overlap FROM done LEFT JOIN ex ON ex.query_id = done.query_id AND ex.neighbor_id = done.id AND done.rank <= {K} GROUP BY i, done.query_id)"""
+
+
+@query(f"WITH {_LSH.replace(_PAIRS, _PAIRS + ', ' + _BRUTE)}, {_CHAIN} SELECT i::INT AS strategy, quantile_cont(overlap, 0.25) AS q1, quantile_cont(overlap, 0.5) AS q2, quantile_cont(overlap, 0.75) AS q3, round((SELECT count(*) FROM pair) / any_value(n), 6) AS speedup FROM o JOIN (SELECT i, count(*) AS n FROM done GROUP BY i) USING (i) GROUP BY i".replace("SELECT i, query_id, count(ex.neighbor_id) AS overlap FROM done", "SELECT i, done.query_id, count(ex.neighbor_id) AS overlap FROM done"))
+def lsh_sweep(spark, d):
+    """Twelve strategies from -0.1 to 1.0, in one search: quartiles of the overlap with exact search, and how many times
+    fewer distances are computed."""
+    p = vectors(spark, d)
+    q = asked(p)
+    every = q.crossJoin(spark.range(12).select(F.col("id").alias("i"))).select((F.col("query_id") * 12 + F.col("i")).alias("query_id"), "q", ((F.col("i") - 1) / 10.0).alias("strategy"))
+    found = keep(spark, search.lsh_candidates(p, every, BITS, SEARCH, F.col("strategy")), "sweep")
+    exact = search.brute(p, q, K, dim=DIM).select(F.col("query_id").alias("of"), "neighbor_id")
+    best = search.top(found, K).select("query_id", F.floor(F.col("query_id") / 12).alias("of"), "neighbor_id")
+    n = search.evaluations(found).join(best.join(exact, ["of", "neighbor_id"]).groupBy("query_id").agg(F.count("*").alias("overlap")), "query_id", "left")
+    pairs = p.count() * q.count()
+    quartile = lambda x: F.percentile(F.coalesce("overlap", F.lit(0)), F.lit(x))
+    return n.groupBy(F.pmod("query_id", F.lit(12)).cast("int").alias("strategy")).agg(quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3"), F.round(F.lit(pairs) / F.sum("evaluations"), 6).alias("speedup"))
+
+
 # --- quality ----------------------------------------------------------------------------------------------
 
 _AP = f"ap AS (SELECT query_id, rank, id AS neighbor_id, distance FROM (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM cand JOIN pair USING (query_id, id)) WHERE rank <= {K})"
@@ -390,6 +417,31 @@ def overlap_quartiles(spark, d):
     return search.quartiles(search.overlap(*_both(spark, d)), "overlap")
 
 
+DEEP, WIDE = 50, 100
+
+
+@query(f"WITH {_E}, {_Q}, {_PAIRS}, {_BRUTE.replace(f'rank <= {K}', f'rank <= {DEEP}')}, {_BASIS}, {_places(below=WIDE, above=WIDE + 1)}, {_AP.replace(f'rank <= {K}', f'rank <= {DEEP}')}, far AS (SELECT query_id, max(distance) AS far FROM ex GROUP BY 1), near AS (SELECT query_id, max(distance) AS near FROM ap GROUP BY 1) SELECT query_id, count(ap.neighbor_id) AS overlap, round(any_value(near) / any_value(far), 9) AS ratio FROM ex LEFT JOIN ap USING (query_id, neighbor_id) JOIN far USING (query_id) JOIN near USING (query_id) GROUP BY query_id")
+def overlap_at_depth(spark, d):
+    """Exact search by expansion against the fast projection index at depth 50: neighbours that both give, and the ratio of
+    the radii."""
+    p = vectors(spark, d)
+    q = asked(p)
+    exact = search.expansion(p, q, DEEP).withColumn("distance", F.sqrt("distance"))
+    found = keep(spark, search.FastIndex(p, BASIS, WIDE).search(q, DEEP), "found")
+    exact = keep(spark, exact, "exact")
+    return search.overlap(found, exact).join(search.radius_ratio(found, exact), "query_id").select("query_id", "overlap", r9("ratio", "ratio"))
+
+
+@query(f"""WITH {_E}, {_Q}, {_BASIS}, pr AS (SELECT id, {_dot('v', 'bv')} AS p FROM e, b WHERE basis_id = 0),
+        place AS (SELECT id, p, row_number() OVER (ORDER BY p, id) AS pos FROM pr),
+        lt AS (SELECT q.query_id, count(*) FILTER (pr.p < me.p) AS lt, count(*) FILTER (pr.p <= me.p) AS le FROM q JOIN pr me ON me.id = q.query_id, pr GROUP BY q.query_id),
+        cand AS (SELECT query_id, id FROM lt, place WHERE pos BETWEEN lt - {S - 1} AND lt OR pos BETWEEN le + 1 AND le + {S}),
+        met AS (SELECT query_id, e.id, q, v FROM cand JOIN e USING (id) JOIN q USING (query_id)) {_topk('met', f'sqrt({_d2(chr(113), chr(118))})')}""")
+def knn_single_projection(spark, d):
+    p = vectors(spark, d)
+    return _neighbors(search.single_projection(p, asked(p), K, BASIS[0], S))
+
+
 # --- clustering -------------------------------------------------------------------------------------------
 
 
@@ -418,6 +470,44 @@ def rmse_quantization(spark, d):
     return cluster.rmse(vectors(spark, d), label_means(spark, d), DIM).select(r9("rmse", "rmse"))
 
 
+_NEAR2 = f"""lines AS (SELECT basis_id, c.id, {_dot('c.v', 'bv')} AS p FROM c, b), place AS (SELECT basis_id, id, p, row_number() OVER (PARTITION BY basis_id ORDER BY p, id) AS pos FROM lines),
+        mine AS (SELECT basis_id, e.id, {_dot('e.v', 'bv')} AS p FROM e, b), lt AS (SELECT m.basis_id, m.id, count(*) FILTER (l.p < m.p) AS lt FROM mine m JOIN lines l USING (basis_id) GROUP BY ALL),
+        met AS (SELECT DISTINCT lt.id, place.id AS cid FROM lt JOIN place USING (basis_id) WHERE pos BETWEEN lt AND lt + 1),
+        near2 AS (SELECT met.id, min(sqrt({_d2('e.v', 'c.v')})) AS distance FROM met JOIN e ON e.id = met.id JOIN c ON c.id = cid GROUP BY met.id)"""
+
+
+@query(f"WITH {_E}, {_MEANS}, {_NEAR}, {_BASIS}, {_NEAR2} SELECT round((SELECT sqrt(avg(distance * distance) / {DIM}) FROM near), 9) AS rmse, round((SELECT sqrt(avg(distance * distance) / {DIM}) FROM near2), 9) AS approximate")
+def rmse_exact_and_approximate(spark, d):
+    """Nearest centroids by exact search, and by one neighbour on either side of each projection."""
+    found = cluster.rmse_both(vectors(spark, d), keep(spark, label_means(spark, d), "means"), BASIS, 1)
+    return found.select(r9("rmse", "rmse"), r9("approximate", "approximate"))
+
+
+@query(f"WITH {_E} SELECT {DIM} AS n, round(sum({_dot('v', 'v')}), 6) AS energy FROM e")
+def singular_value_energy(spark, d):
+    """The squares of all singular values add up to those of all components."""
+    values = cluster.singular_values(vectors(spark, d))
+    return spark.createDataFrame([(len(values), round(sum(x * x for x in values), 6))], "n int, energy double")
+
+
+def _sketch_weight(index: str):
+    def run(spark, d):
+        return pts.total_weight(cluster.streaming_kmeans(vectors(spark, d), K, seed=3, index=index)).select(F.round("total_weight", 6).alias("total_weight"))
+
+    run.__name__ = f"streaming_kmeans_weight_{index}"
+    query("SELECT round(sum(1.0::DOUBLE + vec_id % 3), 6) AS total_weight FROM embeddings")(run)
+
+
+for _index in ("projection", "hash"):
+    _sketch_weight(_index)
+
+
+@query("SELECT round(sum(1.0::DOUBLE + vec_id % 3), 6) AS total_weight FROM embeddings")
+def split_kmeans_weight(spark, d):
+    """The sketch over four blocks, towards four times K centroids."""
+    return pts.total_weight(cluster.split_kmeans(vectors(spark, d), K, 4, seed=3)).select(F.round("total_weight", 6).alias("total_weight"))
+
+
 @query(f"WITH {_E} SELECT sum(w) AS total_weight FROM e")
 def total_weight(spark, d):
     return pts.total_weight(vectors(spark, d))
@@ -528,9 +618,13 @@ def hypercube_points(spark, d):
     return hit.groupBy(F.col("centroid_id").alias("corner")).agg(F.count("*").cast("int").alias("n"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT vec_id) AS ids FROM embeddings")
+@query("WITH r AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS at, count(*) OVER () AS n FROM embeddings) SELECT count(*) AS n, 4 AS parts, true AS even, true AS apart FROM r")
 def split_blocks(spark, d):
-    return cluster.split(vectors(spark, d), 4).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+    """Blocks are contiguous, and none is over half as large again as an even one."""
+    each = cluster.split(vectors(spark, d), 4).groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    before = F.lag("hi").over(Window.orderBy("lo"))
+    each = each.withColumn("apart", F.coalesce(F.col("lo") > before, F.lit(True)))
+    return each.agg(F.sum("n").alias("n"), F.count("*").cast("int").alias("parts"), (F.max("n") <= 1.5 * F.sum("n") / 4).alias("even"), F.bool_and("apart").alias("apart"))
 
 
 @query()

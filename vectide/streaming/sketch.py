@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from vectide.operators import cluster
+from vectide.operators import cluster, searchers
 from vectide.operators.cluster import Sketch
 from vectide.plans.ship import ship
 
@@ -28,7 +28,8 @@ def _packed(s: Sketch) -> str:
 def _unpacked(text: str, start: dict) -> Sketch:
     kept = json.loads(text)
     s = Sketch(**(start | {"target": kept["target"], "cutoff": kept["cutoff"]}))
-    s.count, s.w, s.v = kept["count"], kept["w"], np.array(kept["v"], float)
+    s.count = kept["count"]
+    s.restore(np.array(kept["v"], float), kept["w"])
     s.rng.bit_generator.state = kept["rng"]
     return s
 
@@ -58,8 +59,8 @@ class ShardSketch(StatefulProcessor):
 def streaming_sketches(points: DataFrame, start: dict, shards: int = 8) -> DataFrame:
     """A streaming DataFrame of each shard's sketch after each batch (update mode)."""
     ship(points.sparkSession)
-    # The state runner on the driver starts without the shipped sources: these two modules travel by value.
-    for module in (cluster, sys.modules[__name__]):
+    # The state runner on the driver starts without the shipped sources: these modules travel by value.
+    for module in (cluster, searchers, sys.modules[__name__]):
         cloudpickle.register_pickle_by_value(module)
     dealt = points.withColumn("shard", F.pmod("id", F.lit(shards)))
     return dealt.groupBy("shard").transformWithStateInPandas(ShardSketch(start), OUTPUT, "Update", "None")
