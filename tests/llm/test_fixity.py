@@ -15,10 +15,27 @@ def test_damage_is_located(spark):
     sizes = [len(raw(r)) for r in rows if r[0] < 30]
     lost = next(r for r in got if r["status"] == "missing")
     assert (lost["start"], lost["length"]) == (sum(sizes), len(raw(rows[10])))
-    level = [(r[0] % fixity.SPAN, hashlib.sha256(raw(r)).hexdigest()) for r in rows if r[0] < fixity.SPAN]
+    level = [(r[0] % fixity.SPAN, len(raw(r)), hashlib.sha256(raw(r)).hexdigest()) for r in rows if r[0] < fixity.SPAN]
     for _ in range(fixity.LEVELS):
-        level = [(k, hashlib.sha256(",".join(f"{s}:{d}" for s, d in level if s // fixity.FANOUT == k).encode()).hexdigest()) for k in sorted({s // fixity.FANOUT for s, _ in level})]
-    assert lost["primary_root"] == level[0][1]
+        above = []
+        for k in sorted({s // fixity.FANOUT for s, *_ in level}):
+            mine, at, parts = [x for x in level if x[0] // fixity.FANOUT == k], 0, []
+            for s, n, d in mine:
+                parts.append(f"{s}:{at}-{at + n}:{d}")
+                at += n
+            above.append((k, at, hashlib.sha256(",".join(parts).encode()).hexdigest()))
+        level = above
+    assert lost["primary_root"] == level[0][2]
+
+
+def test_ranges_are_in_the_digests(spark):
+    """Nodes of the same leaves' digests at other offsets differ, and a record that a sibling moves isn't itself damaged."""
+    nodes = spark.createDataFrame([(0, 0, 5, "a"), (0, 1, 7, "b"), (1, 0, 7, "a"), (1, 1, 5, "b")], "file long, slot long, length long, digest string")
+    assert len({r["digest"] for r in fixity.parents(nodes).collect()}) == 2
+    rows = [(i, "u", "x" * 50, "f", "s") for i in range(40)]
+    longer = [(i, u, h + "yy" if i == 3 else h, f, s) for i, u, h, f, s in rows]
+    got = fixity.audit(spark, spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(longer, SCHEMA)).collect()
+    assert [(r["page_id"], r["status"]) for r in got] == [(3, "corrupt")]
 
 
 def test_odd_pages(spark):

@@ -1,7 +1,7 @@
 """Merkle fixity audit of archived records, in DataFrame operations.
 
 Pages become WARC records in archive files of a fixed span of ids, each at an ordered offset range. A record's
-digest is a leaf; FANOUT neighbouring nodes make one of the next level, up to one root a file. Two replicas are
+digest is a leaf; FANOUT neighbouring nodes and their offset ranges make one of the next level, up to one root a file. Two replicas are
 compared by roots; only below roots that differ are the next level's nodes compared, and so on down to the
 records, so what is compared grows with the damage and not with the archive.
 """
@@ -33,10 +33,15 @@ def leaves(pages: DataFrame) -> DataFrame:
 
 
 def parents(nodes: DataFrame) -> DataFrame:
-    """(file, slot, length, digest) of the next level; a node's length is its offset range's."""
-    child = F.concat_ws(":", F.col("slot").cast("string"), F.col("digest"))
-    up = nodes.groupBy("file", F.floor(F.col("slot") / FANOUT).alias("slot")).agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("slot", child.alias("c")))).alias("cs"))
-    return up.select("file", "slot", "length", F.sha2(F.array_join(F.transform("cs", lambda x: x["c"]), ","), 256).alias("digest"))
+    """(file, slot, length, digest) of the next level. A digest is of the children's slots, offset ranges and digests, in
+    order; ranges count from the node's own start, so that what one record's length moves is told once, above it."""
+    up = nodes.groupBy("file", F.floor(F.col("slot") / FANOUT).alias("slot")).agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("slot", "length", "digest"))).alias("cs"))
+
+    def child(x: Column, i: Column) -> Column:
+        start = F.aggregate(F.slice("cs", F.lit(1), i), F.lit(0).cast("long"), lambda t, y: t + y["length"])
+        return F.concat(x["slot"].cast("string"), F.lit(":"), start.cast("string"), F.lit("-"), (start + x["length"]).cast("string"), F.lit(":"), x["digest"])
+
+    return up.select("file", "slot", "length", F.sha2(F.array_join(F.transform("cs", child), ","), 256).alias("digest"))
 
 
 def tree(spark: SparkSession, pages: DataFrame) -> list[DataFrame]:
@@ -89,7 +94,9 @@ def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _side(name: str, frm: str) -> str:
     levels = [f"{name}0 AS (SELECT page_id, page_id // {SPAN} AS file, page_id % {SPAN} AS slot, strlen(r)::BIGINT AS length, sha256(r) AS digest FROM (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS r FROM {frm}))"]
-    levels += [f"{name}{k} AS (SELECT file, slot // {FANOUT} AS slot, sha256(string_agg(slot || ':' || digest, ',' ORDER BY slot)) AS digest FROM {name}{k - 1} GROUP BY ALL)" for k in range(1, LEVELS + 1)]
+    for k in range(1, LEVELS + 1):
+        levels.append(f"{name}r{k} AS (SELECT file, slot, length, digest, (sum(length) OVER (PARTITION BY file, slot // {FANOUT} ORDER BY slot))::BIGINT AS stop FROM {name}{k - 1})")
+        levels.append(f"{name}{k} AS (SELECT file, slot // {FANOUT} AS slot, sum(length)::BIGINT AS length, sha256(string_agg(slot || ':' || (stop - length) || '-' || stop || ':' || digest, ',' ORDER BY slot)) AS digest FROM {name}r{k} GROUP BY file, slot // {FANOUT})")
     return ", ".join(levels)
 
 
