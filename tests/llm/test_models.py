@@ -51,6 +51,18 @@ def test_scores_use_all_grams_of_all_blocks(spark, monkeypatch):
         assert (r["n_tokens"], r["n_known"]) == (len(seen), sum(n > 0 for n in seen)) and abs(r["base_score"] - base) < 1e-6
 
 
+def test_repeated_rows_are_dealt_to_all_blocks(spark, monkeypatch):
+    """Rows alike in id and text, and rows without ids, don't gather in one block."""
+    written = []
+    kept = ppm.keep
+    monkeypatch.setattr(ppm, "keep", lambda s, df, name: written.append((name, kept(s, df, name))) or written[-1][1])
+    docs = spark.createDataFrame([(5, "same text")] * 400 + [(None, "none")] * 400, "doc_id long, text string")
+    got = ppm.scored(spark, docs, block_bytes=1000).collect()
+    blocks = dict(written)["dealt"].groupBy("block").count().collect()
+    assert len(got) == 800 and len(blocks) == 6 and max(r["count"] for r in blocks) < 250
+    assert len({(r["doc_id"], round(r["score"], 9), r["n_known"]) for r in got}) == 2
+
+
 def test_scores_of_odd_rows(spark, odd, none):
     got = ppm.scored(spark, odd, block_bytes=1000).collect()
     by = {r["doc_id"]: r for r in got}

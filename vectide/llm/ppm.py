@@ -6,7 +6,7 @@ context, from whose counts all symbols of the longer one are excluded. Below the
 yet excluded is equally likely, so the probabilities of all texts add up to one. ``Trie`` is the plain form,
 adaptive or trained; ``Model`` holds the same counts as sorted arrays and scores whole batches.
 
-The corpus is cut into blocks by a digest of doc_id. A block counts its distinct words and five-byte grams
+The corpus is dealt into blocks of nearly equal size, at random. A block counts its distinct words and five-byte grams
 once; counts meet in buckets of hashed keys and return to the blocks that asked, so neither a document's
 words nor a hot word ever gather in one task. Distinct grams then meet by the last two bytes of their context,
 which decide all that the contexts of two bytes and more know; the shorter contexts' counts (65,536 at most, as
@@ -31,6 +31,7 @@ ORDER = 4
 BLOCK_BYTES = 8 << 20
 BLOCKS_A_BUCKET = 8
 FOLDS, HELD = 7, 2
+SEED = 7
 #: Stands for a forgotten byte of a context; no UTF-8 text has it.
 FORGOTTEN = 0xFF
 END_KEY = np.uint64(0)
@@ -361,7 +362,9 @@ def scored(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held: int =
     size = base.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     buckets = -(-blocks // BLOCKS_A_BUCKET)
-    dealt = base.withColumn("held_out", fold(F.col("doc_id"), folds) == held).withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("long"))
+    # Dealt at random, whatever rows have in common, and written, so that both passes see the same blocks.
+    dealt = base.withColumn("held_out", fold(F.col("doc_id"), folds) == held).withColumn("block", F.floor(F.rand(SEED) * blocks).cast("long"))
+    dealt = keep(spark, dealt, "dealt")
     counted = keep(spark, dealt.groupBy("block").applyInArrow(_counting(buckets), "kind string, bucket long, block long, keys binary, counts binary"), "counts")
     answer = "kind string, block long, bucket long, totals binary"
     totals = keep(spark, counted.filter("kind = 'word'").groupBy("bucket").applyInArrow(_answer_words, f"{answer}, n long, v long"), "totals")
