@@ -10,7 +10,10 @@ from vectide.functions import basis as bases
 from vectide.functions import vec
 from vectide.operators import cluster, search, searchers, text
 from vectide.operators import points as pts
+from vectide.plans import experiments
+from vectide.plans.store import keep
 from vectide.sources import files, generate
+from vectide.streaming.sketch import feed
 
 
 def frame(spark, x, w=None):
@@ -243,3 +246,68 @@ def test_files(spark, tmp_path):
     assert (row["label"], row["text"]) == ("sci", "one two")
     files.write_sequence(frame(spark, [[1.0, 2.0]]), str(tmp_path / "seq"), "id")
     assert spark.sparkContext.sequenceFile(str(tmp_path / "seq")).collect() == [("0", "1.0,2.0")]
+
+
+def test_experiments_on_small_sizes(spark, tmp_path):
+    got = experiments.overlap(spark, 3000, 5, 4, 40).collect()
+    assert len(got) == 4 and all(0.9 <= r["overlap"] <= 1 and r["ratio"] >= 1 - 1e-9 for r in got)
+    assert experiments.brute_speed(spark, 200, 8, 5, (1, 2), (1, 3)).count() == 4
+    assert experiments.sketch_grid(spark, 400, 4, 3, (1, 2), ("brute", "hash")).count() == 4
+    rows = experiments.projection_scaling(spark, 400, 5, 5, 60, (3, 20)).orderBy("dim").collect()
+    assert [r["dim"] for r in rows] == [3, 20] and 1 <= rows[0]["distance_ratio"] <= rows[1]["distance_ratio"]
+    quality = experiments.sketch_quality(spark, 600, 60, 6, 5, (1, 3))
+    assert all(0 < r["rmse"] <= r["approximate"] + 1e-9 for r in quality.collect())
+    files.write_report(quality, str(tmp_path / "report"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "report")).columns == ["splits", "centroids", "rmse", "approximate"]
+
+
+def test_generators(spark):
+    x = np.array([r["v"] for r in generate.normal(spark, 4000, 3, seed=2).collect()])
+    assert np.abs(x.mean(0)).max() < 0.06 and np.abs(np.cov(x.T) - np.eye(3)).max() < 0.08
+    sampled = np.array([r["v"] for r in generate.lumpy(spark, 500, 30, radius=1.0, alpha=5.0, seed=3).collect()])
+    again = np.array([r["v"] for r in generate.lumpy(spark, 500, 30, radius=1.0, alpha=5.0, seed=3).collect()])
+    assert sampled.shape == (500, 30) and (sampled == again).all()
+    tight = np.array([r["v"] for r in generate.lumpy(spark, 500, 30, radius=1e-9, alpha=5.0, seed=3).collect()])
+    assert 5 <= len({tuple(v) for v in np.round(tight, 4).tolist()}) <= 60
+    asked = queries(spark, np.zeros((300, 4)))
+    noise = np.array([r["q"] for r in generate.perturbed(asked, 0.01, seed=4).collect()])
+    assert 0.008 < noise.std() < 0.012
+    points, means = generate.hypercube(spark, 64, 3)
+    assert means.count() == 8 and points.count() == 64
+
+
+def test_stream_feeds_an_index(spark, tmp_path):
+    """Batches of points go to an index, which is compacted as it falls due."""
+    x = np.random.default_rng(3).normal(size=(60, 4))
+    source = frame(spark, x)
+    source.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    state = {"index": search.FastIndex(source.limit(0), bases.gaussian(4, 4, 3), 30), "batches": 0}
+
+    def take(batch, n):
+        state["index"] = state["index"].add(keep(spark, batch, "batch")).compacted()
+        state["batches"] += 1
+
+    feed(stream, take, str(tmp_path / "check")).awaitTermination()
+    assert state["batches"] == 3 and state["index"].size() == 60 and state["index"].pending.count() == 0
+    found = state["index"].search(queries(spark, x[:5]), 1).collect()
+    assert all(r["neighbor_id"] == r["query_id"] and r["distance"] == 0 for r in found)
+
+
+def test_sketch_state_survives():
+    from vectide.streaming.sketch import _packed, _unpacked
+
+    x = np.random.default_rng(3).normal(size=(300, 3))
+    start = {"target": 5, "cutoff": 0.5, "seed": 2}
+    whole = cluster.Sketch(**start).extend(x, np.ones(300))
+    half = _unpacked(_packed(cluster.Sketch(**start).extend(x[:150], np.ones(150))), start).extend(x[150:], np.ones(150))
+    assert np.allclose(whole.centroids()[0], half.centroids()[0]) and whole.w == half.w and sum(whole.w) == 300
+    assert whole.cutoff == half.cutoff > 0.5 and whole.target == half.target
+
+
+def test_samples_and_two_stages(spark):
+    points = generate.cubish(spark, 0.01)
+    one = {r["id"] for r in cluster.sample_rows(points, 50, seed=4).collect()}
+    assert len(one) == 50 and one == {r["id"] for r in cluster.sample_rows(points.repartition(7), 50, seed=4).collect()}
+    got = cluster.sketch_then_ball(points, 6, seed=1, iterations=5).collect()
+    assert len(got) == 6 and sum(r["w"] for r in got) <= points.count()

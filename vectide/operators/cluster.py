@@ -198,17 +198,36 @@ def _uniform(seed: int, n: int):
 
 def seeds(points: DataFrame, k: int, seed: int = 0) -> list[tuple[int, list[float]]]:
     """k seeds: the first by ``seed_probabilities``, each further one in proportion to weight times squared distance to
-    the nearest seed. One pass each; a draw keeps the least of -ln(u) / weight, so no task holds all points."""
+    the nearest seed. One pass each; a draw keeps the least of -ln(u) / weight, of each batch and then of all, so no task
+    holds all points and the plan doesn't grow with the seeds."""
+    ship(points.sparkSession)
     got: list[tuple[int, list[float]]] = []
-    # u depends on (seed, draw, id) alone, whatever the partitioning.
-    draw = lambda df, n: df.filter("p > 0").orderBy(-F.log(F.greatest(_uniform(seed, n), F.lit(1e-300))) / F.col("p"), "id").select("id", "v").first()
-    first = draw(points.join(seed_probabilities(points), "id"), 0)
+
+    def draw(df: DataFrame, column: str):
+        # u depends on (seed, draw, id) alone, whatever the partitioning.
+        chances = df.select("id", "v", F.col(column).alias("p"), (-F.log(F.greatest(_uniform(seed, len(got)), F.lit(1e-300)))).alias("u"))
+        c = np.array([v for _, v in got], float)
+
+        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in frames:
+                p = batch.column("p").to_numpy(zero_copy_only=False).astype(float)
+                if len(c) and len(p):
+                    x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+                    p = p * _numpy_distances("sqeuclidean", x, c).min(1)
+                on = np.flatnonzero(p > 0)
+                if len(on):
+                    key = batch.column("u").to_numpy()[on] / p[on]
+                    best = on[np.lexsort((batch.column("id").to_numpy()[on], key))[0]]
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(best, 1), batch.column("v").slice(best, 1), pa.array([key.min()])], ["id", "v", "key"])
+
+        return chances.mapInArrow(run, "id long, v array<double>, key double").orderBy("key", "id").first()
+
+    first = draw(points.join(seed_probabilities(points), "id"), "p")
     while first is not None:
         got.append((first["id"], first["v"]))
         if len(got) == k:
             return got
-        near = F.least(*(vec.sq_l2("v", vec.literal(s)) for _, s in got), F.lit(float("inf"))) if len(got) else F.lit(0.0)
-        first = draw(points.withColumn("p", F.col("w") * near), len(got))
+        first = draw(points, "w")
     raise ValueError(f"{k} distinct points are needed, got {len(got)}")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -22,5 +23,6 @@ def ship(spark: SparkSession) -> None:
     with os.fdopen(handle, "wb") as out, zipfile.ZipFile(out, "w") as archive:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, path.relative_to(root.parent))
+    atexit.register(Path(name).unlink, missing_ok=True)  # Spark serves it from here until then
     spark.sparkContext.addPyFile(name)
     _sent.add(app)

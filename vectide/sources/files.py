@@ -36,3 +36,8 @@ def write_sequence(df: DataFrame, path: str, key: str, v: str = "v") -> None:
     """A Hadoop sequence file of (text, comma-joined vector), for readers that need one."""
     rows = df.select(F.col(key).cast("string"), F.array_join(F.col(v).cast("array<string>"), ","))
     rows.rdd.map(tuple).saveAsSequenceFile(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """Measurements as one CSV file with a header, a few rows as they are."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
