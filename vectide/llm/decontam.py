@@ -69,9 +69,12 @@ def _near(spark: SparkSession, chosen: DataFrame, postings: DataFrame, within: i
     any order; ``exact`` if they stand as they do in the window, which would then begin at ``start``."""
     lists = postings.filter(F.col("word") != END)
     rare = lists.join(chosen.select("wid", "item", "size", F.col("rare").alias("word"), "at", "next", "then"), "word")
-    blocks = F.explode(F.sequence(F.floor(F.col("pos") / within) - 1, F.floor(F.col("pos") / within) + 1))
+    # Places within reach stand in one block of 4 * within places, or in two.
+    block = lambda place: F.floor(place / (4 * within))
+    blocks = F.explode(F.sequence(block(F.col("pos") - within + 1), block(F.col("pos") + within - 1)))
     rare = keep(spark, rare.select("doc_id", "mark", "wid", "item", "size", "pos", (F.col("pos") - F.col("at")).alias("start"), "then", F.col("next").alias("word"), blocks.alias("block")), "rare")
-    other = lists.select("doc_id", "mark", "word", F.col("pos").alias("place"), F.floor(F.col("pos") / within).alias("block"))
+    second = lists.join(chosen.select(F.col("next").alias("word")).distinct(), "word", "left_semi")
+    other = second.select("doc_id", "mark", "word", F.col("pos").alias("place"), block(F.col("pos")).alias("block"))
     met = rare.join(other, _same(rare, other, "word", "block")).filter((F.abs(F.col("place") - F.col("pos")) < within) & ((F.col("place") != F.col("pos")) | (F.col("size") == 1)))
     found = met.select(rare["doc_id"], rare["mark"], "wid", "item", "start", (F.col("place") == F.col("start") + F.col("then")).alias("exact"))
     found = keep(spark, found.groupBy("doc_id", "mark", "wid", "item", "start").agg(F.bool_or("exact").alias("exact")), "near")
@@ -83,7 +86,9 @@ def _exact(spark: SparkSession, chosen: DataFrame, postings: DataFrame, near: Da
     """(doc_id, mark, item, start, size) of the windows all of whose words stand in place."""
     open_ = near.filter("exact").join(chosen.select("wid", "size", "phrase"), "wid").select("doc_id", "mark", "wid", "item", "start", "size", F.posexplode("phrase").alias("at", "word"))
     open_ = keep(spark, open_.withColumn("pos", F.col("start") + F.col("at")), "open")
-    met = open_.join(postings, _same(open_, postings, "word", "pos")).select(open_["doc_id"], open_["mark"], "wid", "item", "start", "size", "at")
+    some = keep(spark, open_.select("doc_id", "mark").distinct(), "documents")
+    lists = postings.join(some, _same(postings, some), "left_semi")
+    met = open_.join(lists, _same(open_, lists, "word", "pos")).select(open_["doc_id"], open_["mark"], "wid", "item", "start", "size", "at")
     whole = met.groupBy("doc_id", "mark", "wid", "item", "start", "size").agg(F.size(F.collect_set("at")).alias("n")).filter("n = size")
     return whole.select("doc_id", "mark", "item", "start", "size")
 
