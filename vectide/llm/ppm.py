@@ -32,8 +32,6 @@ BLOCK_BYTES = 8 << 20
 BLOCKS_A_BUCKET = 8
 FOLDS, HELD = 7, 2
 SEED = 7
-#: Stands for a forgotten byte of a context; no UTF-8 text has it.
-FORGOTTEN = 0xFF
 END_KEY = np.uint64(0)
 
 
@@ -260,28 +258,6 @@ def _answer_grams(group: pa.Table) -> pa.Table:
     return pa.table({"gram": pa.array(known.view(np.int64)), "n": pa.array(total)})
 
 
-def trained(grams_: DataFrame, most: int) -> Model:
-    """A bounded model of (gram, n) rows on the driver, for callers that want one; ``scored`` doesn't take it. Beyond
-    ``most`` grams the rarest lose the oldest byte of their context, and so on."""
-    bound = grams_.select("gram", "n")
-    for k in range(ORDER, 0, -1):
-        if bound.count() <= most:
-            break
-        level = bound.groupBy("n").agg(F.count("*").alias("grams")).collect() if bound.select("n").distinct().count() < 1_000_000 else []
-        least, left = 1, most // 2
-        for row in sorted(level, key=lambda r: -r["n"]):
-            left -= row["grams"]
-            if left < 0:
-                least = row["n"] + 1
-                break
-        head = int.from_bytes(bytes([FORGOTTEN] * (ORDER + 1 - k)), "big") << (8 * k)
-        folded = F.when(F.col("n") >= least, F.col("gram")).otherwise(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).bitwiseOR(F.lit(head)))
-        bound = bound.select(folded.alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-    got = bound.toArrow()
-    codes, counts = (got.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("gram", "n"))
-    return Model(codes.astype(np.int64).view(np.uint64), counts)
-
-
 def _rating(pairs, buckets: int):
     """(bucket, gram, value): log10 probability of each gram of a group, which has all grams of its context ends."""
 
