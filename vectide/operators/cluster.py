@@ -291,9 +291,8 @@ def nearest(points: DataFrame, centroids: DataFrame, metric: str = "euclidean",
 def gaps(centroids: DataFrame, metric: str = "euclidean") -> DataFrame:
     """(centroid_id, gap): the distance to the nearest other centroid; infinite for a single one."""
     a = centroids.select(F.col("id").alias("centroid_id"), F.col("v").alias("a"))
-    b = centroids.select(F.col("id").alias("other"), F.col("v").alias("b"))
-    pairs = a.join(F.broadcast(b) if centroids.count() <= 100_000 else b, F.col("centroid_id") != F.col("other"))
-    found = pairs.groupBy("centroid_id").agg(F.min(vec.distance(metric, "a", "b")).alias("gap"))
+    b = centroids.select(F.col("id").alias("query_id"), F.col("v").alias("b"))
+    found = paired(a, b, F.col("centroid_id") != F.col("query_id")).groupBy("centroid_id").agg(F.min(vec.distance(metric, "a", "b")).alias("gap"))
     return a.select("centroid_id").join(found, "centroid_id", "left").select("centroid_id", F.coalesce("gap", F.lit(float("inf"))).alias("gap"))
 
 
