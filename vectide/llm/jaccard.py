@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm.common import LOWER, flat, forget, in_arrow, keep, mix, span_hashes, steps, table, words
+from vectide.llm.native import LOWERED, SPACED, UPPER
 
 WIDTH = 5
 #: Sizes within this ratio share a block of a list.
@@ -292,5 +293,16 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
 
 
+SQL = {
+    "op5_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '{SPACED}') AS w FROM documents),
+        spot AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WIDTH - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {WIDTH - 1}], ' ') AS k FROM spot),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b USING (k) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        link AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT edge.a, c FROM reach JOIN edge ON edge.b = reach.doc_id)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(c) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, n"""
+}
 QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join}
-SQL: dict[str, str] = {}
