@@ -38,11 +38,9 @@ def sampled(rows: DataFrame, most: int, by: str | None = None) -> list:
         narrow = narrow.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most)
     else:
         narrow = narrow.orderBy("_digest").limit(most)
-    wanted = [r["_digest"] for r in narrow.select("_digest").collect()]
-    if not wanted:
-        return []
     start = F.pmod("_digest", F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
-    cut = marked.filter(F.col("_digest").isin(wanted)).withColumn("text", F.substring(F.col("text"), start.cast("int"), F.lit(SAMPLE_CHARS)))
+    # At most ``most`` digests, or so many a value of ``by``, whose number the caller bounds.
+    cut = marked.join(F.broadcast(narrow.select("_digest")), "_digest", "left_semi").withColumn("text", F.substring(F.col("text"), start.cast("int"), F.lit(SAMPLE_CHARS)))
     return sorted(cut.dropDuplicates(["_digest"]).collect(), key=lambda r: r["_digest"])
 
 
