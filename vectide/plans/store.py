@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -49,6 +50,15 @@ def forget(*frames: DataFrame) -> None:
             _remove(df._kept)
 
 
+@contextlib.contextmanager
+def scratch():
+    """Removes, at its end, the folders that ``keep`` wrote within it, but for those of the frames appended to what it gives."""
+    before, stays = set(_written), []
+    yield stays
+    for path in set(_written) - before - {getattr(df, "_kept", None) for df in stays}:
+        _remove(path)
+
+
 @atexit.register
 def _sweep() -> None:
     for path in list(_written):
