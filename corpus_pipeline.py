@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm import decontam, exact, jaccard, language, mixing
-from vectide.llm.common import keep, table
+from vectide.llm.common import forget, keep, table
+from vectide.plans.store import scratch
 
 
 def _without(spark: SparkSession, docs: DataFrame, dropped: DataFrame, mark: Column, repeated: DataFrame | None = None) -> DataFrame:
@@ -72,8 +73,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = keep(spark, docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch() as stays:  # what a stage wrote on its way goes once its rows are written
+            stays.append(kept := keep(spark, stage(spark, docs, sf_dir), name))
+        forget(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -91,6 +91,16 @@ def test_the_run_is_its_stages(spark):
     assert all(0 < x <= 1 for x in p.values())
 
 
+def test_the_run_leaves_one_table_behind(spark):
+    from vectide.plans import store
+
+    before = set(store._written)
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    names = sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(store._written) - before)
+    assert "decontaminate" in names and not {"language_id", "exact_dedup", "near_duplicates", "sketches", "postings", "fingerprints"} & set(names)
+    assert out.count() > 0 and "mix_p" in out.columns
+
+
 def test_stages_on_no_rows(spark, none, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = none
