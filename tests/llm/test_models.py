@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from vectide.llm import language, pii, ppm, toxicity
 from vectide.llm.common import flat
 
@@ -92,7 +93,8 @@ def test_samples_are_bounded_whatever_is_repeated(spark):
     from vectide.llm.common import SAMPLE_CHARS, sampled
 
     rows = spark.range(4000).selectExpr("cast(null as long) doc_id", "case when id % 4 = 0 then repeat('ab ', 20000) when id % 4 = 1 then 'same' else concat('t', id) end text", "case when id % 4 < 2 then 'x' else concat('l', id % 3) end lang")
-    got = sampled(rows, 50, "lang")
+    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64(*rows.columns)).alias("n")).collect()}
+    got = sampled(rows, 50, "lang", many)
     assert len(got) == 2 + 3 * 50 and max(len(r["text"]) for r in got) == SAMPLE_CHARS and len({(r["text"], r["lang"]) for r in got}) == len(got)
     assert len(sampled(rows, 70)) == 70 and sampled(rows.limit(0), 5) == []
 

@@ -28,16 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SAMPLE_CHARS = 1 << 14
 
 
-def sampled(rows: DataFrame, most: int, by: str | None = None) -> list:
+def sampled(rows: DataFrame, most: int, by: str | None = None, many: dict | None = None) -> list:
     """At most ``most`` distinct rows of ``rows`` (which has ``text``), or of each value of ``by``: those of least digest,
-    sorted by it. What the driver gets is bounded by ``most`` times SAMPLE_CHARS, however often a row is repeated."""
+    sorted by it. What the driver gets is bounded by ``most`` times SAMPLE_CHARS, however often a row is repeated. With
+    ``by``, ``many`` says about how many distinct rows each value has, and names the values that count: rows whose digest
+    is too high for their value's sample go before the values' rows meet."""
     marked = rows.withColumn("_digest", F.xxhash64(*rows.columns))
-    narrow = marked.select(*([by] if by else []), "_digest").distinct()
     if by:
-        first = Window.partitionBy(by).orderBy("_digest")
+        ceiling = F.create_map(*(F.lit(x) for value, n in many.items() for x in (value, min(1 << 30, int((2 * most + 50) / max(1, n) * (1 << 30))))))
+        narrow = marked.filter(F.pmod("_digest", F.lit(1 << 30)) < F.element_at(ceiling, F.col(by))).select(by, "_digest").distinct()
+        first = Window.partitionBy(by).orderBy(F.pmod("_digest", F.lit(1 << 30)), "_digest")
         narrow = narrow.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most)
     else:
-        narrow = narrow.orderBy("_digest").limit(most)
+        narrow = marked.select("_digest").distinct().orderBy("_digest").limit(most)
     start = F.pmod("_digest", F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
     # At most ``most`` digests, or so many a value of ``by``, whose number the caller bounds.
     cut = marked.join(F.broadcast(narrow.select("_digest")), "_digest", "left_semi").withColumn("text", F.substring(F.col("text"), start.cast("int"), F.lit(SAMPLE_CHARS)))

@@ -174,11 +174,11 @@ def learn(docs: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = S
     """(languages, weights, IDF, temperature) from text and non-null lang of rows outside the held-out fold."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter((fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
+    total = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64(*known.columns)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
     if not total:
         return [], np.zeros((1, BUCKETS), np.float32), np.ones(BUCKETS, np.float32), 1.0
     by: dict[str, list] = {}
-    for r in sampled(known.filter(F.col("lang").isin([r["lang"] for r in total])), sample, "lang"):
+    for r in sampled(known, sample, "lang", {r["lang"]: r["n"] for r in total}):
         by.setdefault(r["lang"], []).append((r["text"], r["lang"]))
     idf = inverse_frequencies(known).astype(np.float32)
     mixed = [row for group in zip(*(v * -(-sample // len(v)) for v in by.values()), strict=False) for row in group]
