@@ -124,11 +124,11 @@ def test_string_kernel_by_definition():
     code = lambda s: np.array([[ord(c) - 97 for c in s]])
     for s in ("idiot", "banana", "abc"):
         assert abs(toxicity.self_kernel(code(s))[0] - count(s, s)) < 1e-4
-    basis = toxicity._explicit([code("idiot")[0].astype(np.uint8)])
+    rows_of, basis = toxicity._explicit([code("idiot")[0].astype(np.uint8)])
     words = ["idiot", "idxiot", "iddiott", "random"]
     flat_codes = np.concatenate([code(w)[0] for w in words]).astype(np.uint8)
     edge = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-    like = toxicity.project(flat_codes, edge[:-1], edge[1:], basis)[:, 0]
+    like = toxicity.project(flat_codes, edge[:-1], edge[1:], basis, None, rows_of)[:, 0]
     for w, x in zip(words, like, strict=True):
         assert abs(x - count(w, "idiot") / np.sqrt(count(w, w) * count("idiot", "idiot"))) < 1e-4
     assert like[0] > like[1] > like[3]

@@ -125,8 +125,9 @@ def norms(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
-def project(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, norm: np.ndarray | None = None) -> np.ndarray:
-    """The normalised subsequence features of each segment times ``weights`` (LETTERS^3, columns)."""
+def project(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, norm: np.ndarray | None = None, rows_of: np.ndarray | None = None) -> np.ndarray:
+    """The normalised subsequence features of each segment times ``weights`` (LETTERS^3, columns), or times fewer rows, of
+    which ``rows_of`` names each subsequence's."""
     norm = norms(codes, starts, ends) if norm is None else norm
     out = np.zeros((len(starts), weights.shape[1]), np.float32)
     for size in np.unique(ends - starts):
@@ -137,6 +138,7 @@ def project(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np
             part = rows[k : k + most]
             mat = codes[starts[part][:, None] + np.arange(size)].astype(np.int64)
             index = (mat[:, t[:, 0]] * LETTERS + mat[:, t[:, 1]]) * LETTERS + mat[:, t[:, 2]]
+            index = index if rows_of is None else rows_of[index]
             if weights.shape[1] == 1:
                 out[part, 0] = (weights[:, 0][index] @ decay) / norm[part]
             else:
@@ -144,15 +146,22 @@ def project(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np
     return out
 
 
-def _explicit(names: list[np.ndarray]) -> np.ndarray:
-    """Unit subsequence vectors of the landmarks, a column each."""
-    out = np.zeros((LETTERS**3, len(names)), np.float32)
-    for m, s in enumerate(names):
+def _explicit(names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows_of, basis): unit subsequence vectors of the landmarks, a column each, over the subsequences that they have; the
+    last row is all others'."""
+    parts = []
+    for s in names:
         t, decay = _triples(len(s))
         x = s.astype(np.int64)
-        np.add.at(out[:, m], (x[t[:, 0]] * LETTERS + x[t[:, 1]]) * LETTERS + x[t[:, 2]], decay)
+        parts.append(((x[t[:, 0]] * LETTERS + x[t[:, 1]]) * LETTERS + x[t[:, 2]], decay))
+    held = np.unique(np.concatenate([i for i, _ in parts]))
+    rows_of = np.full(LETTERS**3, len(held), np.int32)
+    rows_of[held] = np.arange(len(held))
+    out = np.zeros((len(held) + 1, len(names)), np.float32)
+    for m, (index, decay) in enumerate(parts):
+        np.add.at(out[:, m], rows_of[index], decay)
         out[:, m] /= np.linalg.norm(out[:, m]) or 1
-    return out
+    return rows_of, out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng, lam: float = 1e-4, passes: int = 30) -> np.ndarray:
@@ -207,27 +216,31 @@ class Sample:
 
     def __init__(self, texts: list[str], toxic: np.ndarray):
         data, at = flat(pa.array(texts, pa.large_string()))
-        parts, base = [], 0
+        parts, base, begun = [], 0, 0
+        short = lambda x: x.astype(np.int32)
         for i, j in steps(at):  # tables of powers stay as small as a step
             piece, bounds = data[at[i] : at[j]], at[i : j + 1] - at[i]
             cut = sentences(piece, bounds)
             codes, starts, ends, row = segments(piece, cut)
             doc = np.searchsorted(bounds, cut[:-1], "right") - 1 + i
-            parts.append((codes, starts + base, ends + base, row + sum(len(p[5]) for p in parts), span_hashes(codes, starts, ends), doc))
-            base += len(codes)
-        self.codes, starts, ends, sentence, keys, self.doc_of = (np.concatenate(x) for x in zip(*parts, strict=True))
+            keys = span_hashes(codes, starts, ends)
+            parts.append((codes, short(starts + base), short(ends + base), short(row + begun), keys, short(doc)))
+            base, begun = base + len(codes), begun + len(doc)
+        self.codes, starts, ends, sentence, keys, self.doc_of = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        del parts
         _, where, which = np.unique(keys, return_index=True, return_inverse=True)
+        del keys
         self.starts, self.ends = starts[where], ends[where]
         self.norm = norms(self.codes, self.starts, self.ends)
         pairs = np.unique(sentence.astype(np.int64) * len(where) + which)  # a sentence's distinct segments
-        self.sentence, self.segment = pairs // len(where), pairs % len(where)
+        self.sentence, self.segment = (pairs // len(where)).astype(np.int32), (pairs % len(where)).astype(np.int32)
         self.toxic, self.rows = toxic, len(texts)
 
     def text(self, segment: int) -> np.ndarray:
         return self.codes[self.starts[segment] : self.ends[segment]]
 
-    def projected(self, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        return project(self.codes, self.starts[which], self.ends[which], weights, self.norm[which])
+    def projected(self, which: np.ndarray, weights: np.ndarray, rows_of: np.ndarray | None = None) -> np.ndarray:
+        return project(self.codes, self.starts[which], self.ends[which], weights, self.norm[which], rows_of)
 
     def telling(self, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each sentence's segment of highest margin: (sentences, segments)."""
@@ -238,7 +251,7 @@ class Sample:
     def odds(self) -> np.ndarray:
         """How much likelier a segment is in a toxic row than in a clean one, in logarithms, counting each row once."""
         doc = self.doc_of[self.sentence]
-        pairs = np.unique(doc * len(self.starts) + self.segment)
+        pairs = np.unique(doc.astype(np.int64) * len(self.starts) + self.segment)
         doc, seg = pairs // len(self.starts), pairs % len(self.starts)
         n = [np.bincount(seg[self.toxic[doc] == k], minlength=len(self.starts)) for k in (0, 1)]
         rows = [max(1, int((self.toxic == k).sum())) for k in (0, 1)]
@@ -282,18 +295,18 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, seed: i
         rest = np.setdiff1d(which[y < 0], lead)
         hard = rest[np.argsort(-margin[rest], kind="stable")][: (landmarks - len(lead)) // 2]
         draw = rng.permutation(np.setdiff1d(rest, hard))[: landmarks - len(lead) - len(hard)]
-        basis = _explicit([sample.text(k) for k in (*lead, *hard, *draw)])
-        used = basis[basis.any(1)].astype(float)
-        value, vector = np.linalg.eigh(used.T @ used)
+        rows_of, basis = _explicit([sample.text(k) for k in (*lead, *hard, *draw)])
+        gram = sum(part.T @ part for part in (basis[k : k + 4096].astype(float) for k in range(0, len(basis), 4096)))
+        value, vector = np.linalg.eigh(gram)
         white = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
         # Each example as it is, and the toxic ones with letters put in besides.
         noisy = [np.insert(t, rng.integers(1, len(t), 1 + k % 2), rng.integers(0, 26, 1 + k % 2))[:WIDEST].astype(t.dtype) for k, t in enumerate(sample.text(i) for i in which[y > 0])]
         edge = np.concatenate([[0], np.cumsum([len(s) for s in noisy])]).astype(int)
-        x = np.concatenate([sample.projected(which, basis), project(np.concatenate(noisy), edge[:-1], edge[1:], basis)]) @ white
+        x = np.concatenate([sample.projected(which, basis, rows_of), project(np.concatenate(noisy), edge[:-1], edge[1:], basis, None, rows_of)]) @ white
         target = np.concatenate([y, np.ones(len(noisy))])
         weight = np.where(target > 0, len(target) / (2 * (target > 0).sum()), len(target) / (2 * max(1, (target < 0).sum())))
         w = _svm(x, target, weight, rng)
-        primal = (basis @ (white @ w[:-1])).astype(np.float32)[:, None]
+        primal = (basis @ (white @ w[:-1])).astype(np.float32)[rows_of][:, None]
         margin = sample.projected(every, primal)[:, 0] + w[-1]
     doc = sample.doc_of[sample.sentence]
     return primal, float(w[-1]), _calibrate(_by_row(margin[sample.segment], doc, sample.rows), toxic)
@@ -343,7 +356,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int
             known.setdefault(r["doc_id"], value)
     rows = sampled(base.filter(F.col("doc_id").isin(list(known)) & F.col("text").isNotNull()).select("doc_id", "text"), sum(sample)) if known else []
     nothing = np.zeros((LETTERS**3, 1), np.float32), FLOOR, np.zeros(4)
-    primal, bias, calibration = fit([r["text"] for r in rows], np.array([known[r["doc_id"]] for r in rows])) if rows else nothing
+    marks_of = np.array([known[r["doc_id"]] for r in rows])
+    rows = [r["text"] for r in rows]
+    primal, bias, calibration = fit(rows, marks_of) if rows else nothing
     scored = in_arrow(base.select("doc_id", "held_out", "text"), _score(primal, bias, calibration), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
