@@ -13,20 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm import decontam, exact, jaccard, language, mixing
-from vectide.llm.common import forget, keep, table
+from vectide.llm.common import forget, keep, near_texts, table
 from vectide.plans.store import scratch
 
 
 def _without(spark: SparkSession, docs: DataFrame, dropped: DataFrame, mark: Column, repeated: DataFrame | None = None) -> DataFrame:
     """``docs`` but for the rows whose doc_id and ``mark`` are in ``dropped`` (id, mark), and with one row for each in
-    ``repeated``. Both are written first, so that their size is known."""
+    ``repeated``. Both are written first, so that their size is known; few enough go to the rows."""
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), mark.alias("mark"))
 
     def met(other: DataFrame, how: str) -> DataFrame:
-        other = other.select(F.col("id").alias("of_id"), F.col("mark").alias("of"))
+        other = near_texts(keep(spark, other.select(F.col("id").alias("of_id"), F.col("mark").alias("of")), "decided"))
         return rows.join(other, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of")), how)
 
-    dropped = keep(spark, dropped.distinct(), "dropped")
+    dropped = dropped.distinct()
     if repeated is None or (repeated := keep(spark, repeated, "repeated")).isEmpty():
         return met(dropped, "left_anti").select("row.*")
     alone = met(dropped.unionByName(repeated), "left_anti")
@@ -40,9 +40,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays, once."""
-    found = keep(spark, exact.exact_duplicates(spark, docs).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("mark"), "kept"), "found")
+    found = keep(spark, exact.exact_duplicates(spark, docs).select(F.col("doc_id").alias("id"), F.xxhash64("text_sha256").alias("mark"), "kept"), "found")
     repeated = found.filter("kept").groupBy("id", "mark").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return _without(spark, docs, found.filter("not kept").drop("kept"), F.sha2(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"), 256), repeated)
+    mark = F.xxhash64(F.sha2(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"), 256))
+    return _without(spark, docs, found.filter("not kept").drop("kept"), mark, repeated)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

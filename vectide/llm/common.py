@@ -24,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a few numbers each that are broadcast, so that the texts they meet aren't shuffled; more are joined by shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def near_texts(kept: DataFrame) -> DataFrame:
+    """A kept table of narrow rows, to be broadcast if its rows are few enough, counted."""
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 #: Characters of a text that a classifier's sample holds; of longer ones a stretch that the digest places.
 SAMPLE_CHARS = 1 << 14
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import LOWER, flat, forget, in_arrow, keep, mix, span_hashes, steps, table, words
+from vectide.llm.common import LOWER, flat, forget, in_arrow, keep, mix, near_texts, span_hashes, steps, table, words
 from vectide.llm.native import LOWERED, SPACED, UPPER
 
 WIDTH = 5
@@ -206,7 +206,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame,
     likely = keep(spark, likely, "likely")
     # One text of each group, by its least doc_id and mark. Where several rows have both, one of them: sets then need no
     # shuffle to be told apart.
-    texts = base.join(likely.select("id", F.col("least").alias("of_id"), "of"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of"))).select("id", "text")
+    wanted = near_texts(keep(spark, likely.select("id", F.col("least").alias("of_id"), "of"), "wanted"))
+    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of"))).select("id", "text")
     twice = sketch.groupBy(F.col("doc_id").alias("of_id"), F.col("mark").alias("of")).agg(F.count("*").alias("rows")).filter("rows > 1")
     twice = keep(spark, likely.join(twice, F.col("least").eqNullSafe(F.col("of_id")) & (likely["of"] == twice["of"])).select("id"), "twice")
     if not twice.isEmpty():
