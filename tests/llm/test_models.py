@@ -306,3 +306,19 @@ def test_flat_slices():
     a = pa.array(["x", None, "éa", ""]).slice(1, 3)
     data, at = flat(a)
     assert [bytes(data[at[i] : at[i + 1]]).decode() for i in range(3)] == ["", "éa", ""]
+
+
+def test_every_character_is_read():
+    """Texts without a digit, an @ or a spelled-out sign are read too, and characters that are 0 for certain are left out
+    of decoding alone."""
+    net = pii.Net(2)
+    net.p["V"][:], net.p["b"][:] = 0, [0, 9, 0, 0, 0]
+    texts = ["write to jo at tea.org " + "é" * 700, "", "no sign"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    assert pii.tag(net, data, at) == [(0, 0, 0, len(texts[0])), (2, 0, 0, len(texts[2]))]
+    net, rng = pii.Net(2), np.random.default_rng(6)
+    net.p["A"], edge = rng.normal(size=(pii.LABELS, pii.LABELS)).astype(np.float32), np.array([0, 1, 400, 400, 3000])
+    e = rng.normal(size=(3000, pii.LABELS)).astype(np.float32) * 3
+    e[:, 0] += 4
+    assert np.array_equal(net.labels(e, edge), net.decode(e, edge)) and 0 < net.labels(e, edge).astype(bool).sum() < 1500

@@ -3,9 +3,8 @@
 The network reads characters as a few dozen classes, in both directions, with piecewise-linear gates, so that
 a step is two small matrix products; a linear-chain CRF over its outputs labels every character. It is trained
 in numpy on labelled spans: those of the fixed patterns in a bounded sample of rows, and written-out variants
-of them. A span of these kinds holds a digit, an @ or a spelled-out one, so the stretches around such signs are
-read, in overlapping windows. The windows' outputs are added up character by character, each weighted by how deep
-it stands in its window, and each stretch is decoded once as a whole, as if the text around it were unlabelled:
+of them. Every character of every text is read, in overlapping windows. The windows' outputs are added up character by
+character, each weighted by how deep it stands in its window, and each text is decoded once as a whole:
 its blocks are reduced to transfer matrices side by side, which makes the one best path of any length cheap.
 The patterns' spans always stay; the network adds spans that overlap none of them and hold up as their kind.
 """
@@ -106,6 +105,12 @@ def classes(data: np.ndarray) -> np.ndarray:
 # --- the network ------------------------------------------------------------------------------------------
 
 
+def _clip(x: np.ndarray, low: float) -> np.ndarray:
+    """``x`` itself, brought between ``low`` and 1."""
+    np.maximum(x, np.float32(low), out=x)
+    return np.minimum(x, np.float32(1), out=x)
+
+
 class Net:
     """Parameters by name, and the forward, backward and decoding passes over time-major batches."""
 
@@ -121,6 +126,8 @@ class Net:
 
     def hidden(self, x: np.ndarray, side: str, trace: list | None = None) -> np.ndarray:
         """(time, batch, HIDDEN) outputs; gates are clip(z/4 + 1/2, 0, 1), candidates clip(z, -1, 1)."""
+        if trace is None:
+            return self._read(x, side)
         h = HIDDEN
         table_, u = self.p["G" + side].copy(), self.p["U" + side].copy()
         table_[:, : 3 * h] = table_[:, : 3 * h] * 0.25 + 0.5
@@ -138,11 +145,31 @@ class Net:
             was = c
             c = a[:, h : 2 * h] * c + a[:, :h] * g
             np.multiply(a[:, 2 * h :], np.clip(c, -1, 1), out=out[t])
-            if trace is not None:
-                trace.append((t, state, a, g, was, c))
+            trace.append((t, state, a, g, was, c))
             state = out[t]
         return out
 
+    def _read(self, x: np.ndarray, side: str) -> np.ndarray:
+        """``hidden`` without a trace: a gate's values stand side by side, and steps are taken in place."""
+        h, (span, batch) = HIDDEN, x.shape
+        table_, u = self.p["G" + side].T.copy(), self.p["U" + side].T.copy()
+        table_[: 3 * h] = table_[: 3 * h] * 0.25 + 0.5
+        u[: 3 * h] *= 0.25
+        out = np.empty((span, batch, h), np.float32)
+        state, c, kept, z, add = (np.zeros((n, batch), np.float32) for n in (h, h, h, 4 * h, 4 * h))
+        for t in range(span) if side == "f" else range(span - 1, -1, -1):
+            np.matmul(u, state, out=z)
+            z += np.take(table_, x[t], axis=1, out=add, mode="clip")
+            _clip(z[: 3 * h], 0)
+            g = _clip(z[3 * h :], -1)
+            g *= z[:h]
+            c *= z[h : 2 * h]
+            c += g
+            kept[:] = c
+            np.multiply(_clip(kept, -1), z[2 * h : 3 * h], out=state)
+            out[t] = state.T
+        return out
+
     def emissions(self, x: np.ndarray, traces: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
         first, second = traces or (None, None)
         both = np.concatenate([self.hidden(x, "f", first), self.hidden(x, "b", second)], axis=2)
@@ -217,6 +244,19 @@ class Net:
                     self.p[name] = (self.p[name] - rate * (1 - 0.9 * step / whole) * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return loss
 
+    def labels(self, e: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """``decode``, but for the characters that are 0 on the best path for certain: those whose output for 0 is further
+        above the others than any neighbours' transitions could make up for. What stands between them is decoded by itself."""
+        a = self.p["A"]
+        lead = (a[:, 1:] - a[:, :1]).max(0) + (a[1:] - a[:1]).max(1)  # the most that a label's transitions gain on those of 0
+        open_ = np.flatnonzero((e[:, :1] - e[:, 1:] <= lead + 1e-3).any(1))
+        out = np.zeros(len(e), np.uint8)
+        if len(open_):
+            run = np.searchsorted(edge, open_, "right")
+            new = np.flatnonzero((np.diff(open_) != 1) | (np.diff(run) != 0)) + 1
+            out[open_] = self.decode(e[open_], np.concatenate([[0], new, [len(open_)]]))
+        return out
+
     def decode(self, e: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """The best labels of runs of characters, given their outputs one after the other and the runs' bounds. Before and
         after a run stands label 0. Exact for any length: each block's best scores from any label to any other are
@@ -410,11 +450,12 @@ def tag(net: Net, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int,
     place = np.zeros(len(data) + 1, np.int64)
     np.cumsum(lead, out=place[1:])
     bounds = place[at]
-    row, start, end = stretches(place[np.flatnonzero(signs(data))], bounds)
+    row = np.flatnonzero(np.diff(bounds))
     if not len(row):
         return []
+    start, end = bounds[:-1][row], bounds[1:][row]
     edge = np.concatenate([[0], np.cumsum(end - start)])
-    label = net.decode(outputs(net, _CLASS[data[lead]], start, end), edge)
+    label = net.labels(outputs(net, _CLASS[data[lead]], start, end), edge)
     on = np.flatnonzero(label)
     if not len(on):
         return []
