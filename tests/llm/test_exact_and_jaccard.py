@@ -119,3 +119,11 @@ def test_odd_sets(spark, odd, none):
     assert len(got) == 13 and by[10]["component_id"] == by[6]["component_id"] == by[None]["component_id"] == 1
     assert by[3]["n_shingles"] == 0 and by[3]["component_id"] == 3 and by[7]["n_shingles"] == 1
     assert jaccard.jaccard_components(spark, none)[0].count() == 0
+
+
+def test_workers_release_what_a_kernel_freed(monkeypatch):
+    from vectide.llm import common
+
+    done = []
+    monkeypatch.setattr(common, "release", lambda: done.append(1))
+    assert list(common._released(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3] and done == [1]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 
 import numpy as np
@@ -56,10 +57,29 @@ def sampled(rows: DataFrame, most: int, by: str | None = None, many: dict | None
     return sorted(cut.dropDuplicates(["_digest"]).collect(), key=lambda r: r["_digest"])
 
 
+def release() -> None:
+    """Give the memory that this process freed back to the system: workers wait for their next task with what they hold,
+    beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _released(kernel):
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            release()
+
+    return run
+
+
 def in_arrow(df: DataFrame, kernel, schema: str) -> DataFrame:
-    """``kernel`` over the Arrow batches of ``df``, with this package at hand in the workers."""
+    """``kernel`` over the Arrow batches of ``df``, with this package at hand in the workers, which release its memory."""
     ship(df.sparkSession)
-    return df.mapInArrow(kernel, schema)
+    return df.mapInArrow(_released(kernel), schema)
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
