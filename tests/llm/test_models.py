@@ -322,3 +322,55 @@ def test_every_character_is_read():
     e = rng.normal(size=(3000, pii.LABELS)).astype(np.float32) * 3
     e[:, 0] += 4
     assert np.array_equal(net.labels(e, edge), net.decode(e, edge)) and 0 < net.labels(e, edge).astype(bool).sum() < 1500
+
+
+def test_windows_are_read_where_a_span_may_be_kept():
+    """Runs that hold a needed byte are those of reading every window, and far fewer windows are read."""
+    rng = np.random.default_rng(3)
+    parts = ["word ", "é", " at ", "@", "7", "12.3", " dot ", "x" * 150, "plain text, " * 8, "(AT)", "\n", "atlas", "+1 (555) "]
+    for seed in range(12):
+        net = pii.Net(seed)
+        net.p["A"] = rng.normal(size=net.p["A"].shape).astype(np.float32)
+        net.p["b"][0] = seed / 4 - 1  # from runs without end to short ones
+        net.p["V"] *= 1 + seed % 3
+        texts = ["".join(rng.choice(parts, size, p=[0.3, *[0.02] * 6, 0.2, 0.3, *[0.02] * 4])) for size in (0, 1, 5, 40, 0, 150, 300)] + ["@", "7" * 3000, "at", ""]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+        kept = []
+        for need in (None, pii.needed(data)):
+            found = pii.tag(net, data, at, need)
+            kept.append([x for x in found if pii.needed(np.frombuffer(texts[x[0]].encode("utf-32-le"), np.uint32).clip(0, 255).astype(np.uint8))[x[2] : x[3]].any()])
+        assert kept[0] == kept[1] and (seed > 3 or kept[0])
+
+    # A network that says 0 but at digits: only their windows are read.
+    net = pii.Net(2)
+    net.p["V"][:], net.p["b"][:] = 0, [9, 0, 0, 0, 0]
+    text = "no sign here " * 5000 + "call 7 at noon" + " nor here" * 5000
+    line, count = np.frombuffer(text.encode(), np.uint8), []
+    whole = pii.Windows.read
+
+    def counted(self, which):
+        count.append(len(which))
+        whole(self, which)
+
+    pii.Windows.read = counted
+    try:
+        assert pii.tag(net, line, np.array([0, len(line)]), pii.needed(line)) == pii.tag(net, line, np.array([0, len(line)])) == []
+    finally:
+        pii.Windows.read = whole
+    assert count[0] <= 4 and count[-1] > 1500
+
+
+def test_kept_spans_hold_a_needed_byte():
+    """Whatever ``plausible`` lets through, whole or cut out of a text, has such a byte."""
+    rng, kept = np.random.default_rng(8), set()
+    parts = ["jo", "tea", "org", "A", "at", "aT", "AT", "@", "dot", "DOT", ".", "(", ")", "[", "]", "<", ">", " ", "\t", " ", " ", "\u0085", "é", "ſ", "10", "7", "1.2.3", "4111111111111111", "+", "555", "-", "/"]
+    for _ in range(60000):
+        s = "".join(rng.choice(parts, rng.integers(1, 12)))
+        for kind in range(len(pii.KINDS)):
+            if pii.plausible(kind, s):
+                kept.add(kind)
+                assert pii.needed(np.frombuffer(s.encode(), np.uint8)).any(), (kind, s)
+    assert kept == set(range(len(pii.KINDS)))
+    for s in [x for y in SPELLINGS.values() for x in y] + ["jo at tea.org", "jo at tea.org"]:
+        assert pii.needed(np.frombuffer(s.encode(), np.uint8)).any(), s

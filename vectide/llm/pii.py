@@ -3,10 +3,14 @@
 The network reads characters as a few dozen classes, in both directions, with piecewise-linear gates, so that
 a step is two small matrix products; a linear-chain CRF over its outputs labels every character. It is trained
 in numpy on labelled spans: those of the fixed patterns in a bounded sample of rows, and written-out variants
-of them. Every character of every text is read, in overlapping windows. The windows' outputs are added up character by
+of them. Whole texts are read in overlapping windows. The windows' outputs are added up character by
 character, each weighted by how deep it stands in its window, and each text is decoded once as a whole:
 its blocks are reduced to transfer matrices side by side, which makes the one best path of any length cheap.
 The patterns' spans always stay; the network adds spans that overlap none of them and hold up as their kind.
+
+A span that holds up has a digit, an @ or the word "at" (``needed``). Windows are therefore read on demand: those of such
+characters first, then on to either side until the best path is at 0 whatever the windows beyond say. What is not read can't be
+in a span that is kept, so the result is that of reading every window.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
 HIDDEN = 16
 WIDTH, OVERLAP = 96, 32
+STRIDE = WIDTH - OVERLAP
 #: Characters that are read on either side of a sign.
 REACH = 64
 #: Characters of a block of the decoder.
@@ -296,6 +301,34 @@ class Net:
         return label.reshape(-1)[spot]
 
 
+    def settled(self, e: np.ndarray, edge: np.ndarray, head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pieces of texts, given their outputs one after the other and the pieces' bounds: the best labels between
+        labels 0, and which characters are 0 whatever labels stand before the piece and at its end. ``head`` and ``tail``
+        say of each piece whether a text begins and ends with it; label 0 stands before and after a text."""
+        a, sizes = self.p["A"].astype(np.float32), np.diff(edge)
+        order = np.argsort(-sizes, kind="stable")  # the longest first, so that those that still run are in front
+        begin, sizes, tail = edge[:-1][order], sizes[order], tail[order]
+        active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # pieces that have a character number t
+        score, back = a[None] + e[begin][:, None, :], np.zeros((sizes[0], len(sizes), LABELS, LABELS), np.uint8)
+        for t in range(1, sizes[0]):
+            m = active[t]
+            every = score[:m, :, :, None] + a
+            back[t, :m] = every.argmax(2)
+            score[:m] = every.max(2) + e[begin[:m] + t][:, None, :]
+        # Paths by the label before the piece and the one at its end; a text's end leaves one for each label before.
+        now = np.broadcast_to(np.arange(LABELS, dtype=np.uint8), score.shape).copy()
+        now[tail] = (score[tail] + a[:, 0]).argmax(2)[:, :, None]
+        now[head[order]] = now[head[order]][:, :1]
+        before = np.arange(LABELS)[None, :, None] * ~head[order][:, None, None]
+        path, zero, rows = np.zeros(len(e), np.uint8), np.zeros(len(e), bool), np.arange(len(sizes))[:, None, None]
+        for t in range(sizes[0] - 1, -1, -1):
+            m = active[t]
+            path[begin[:m] + t] = now[:m, 0, 0]
+            zero[begin[:m] + t] = (now[:m] == 0).all((1, 2))
+            now[:m] = back[t, rows[:m], before[:m], now[:m]]
+        return path, zero
+
+
 # --- training windows -------------------------------------------------------------------------------------
 
 
@@ -391,6 +424,8 @@ def labelled(texts: list[str], windows: int = WINDOWS, seed: int = 9) -> tuple[n
 
 #: Windows read together.
 BATCH = 2048
+#: Characters that are read on either side of a needed one at first, and windows side by side from which on a row is read whole.
+CONTEXT, FAR = 16, 16
 
 
 def signs(data: np.ndarray) -> np.ndarray:
@@ -418,34 +453,124 @@ def stretches(sign: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row[first], low[first], high[np.append(first[1:], len(sign)) - 1] if len(sign) else high
 
 
+class Windows:
+    """The windows over stretches of a line, and what has been read of them: the sums of their outputs, and weights."""
+
+    def __init__(self, net: Net, line: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.net, self.line, self.start, self.sizes = net, line, start, end - start
+        self.edge = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.total, self.weight = np.zeros((self.edge[-1], LABELS), np.float32), np.zeros(self.edge[-1], np.float32)
+        self.windows = np.maximum(1, -(-(self.sizes - OVERLAP) // STRIDE))
+        self.begin = np.cumsum(self.windows) - self.windows
+        self.run = np.repeat(np.arange(len(self.sizes)), self.windows)
+        self.number = np.arange(len(self.run)) - np.repeat(self.begin, self.windows)
+        self.done = np.zeros(len(self.run), bool)
+
+    def places(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of windows' characters among the stretches', time-major, and whether they are within their stretch."""
+        spot = (self.number[which] * STRIDE)[None, :] + np.arange(WIDTH)[:, None]
+        return self.edge[self.run[which]][None, :] + spot, spot < self.sizes[self.run[which]][None, :]
+
+    def read(self, which: np.ndarray) -> None:
+        """Add up the outputs of windows, each weighted by how deep a character stands in it."""
+        inside = np.arange(WIDTH)[:, None]
+        for odd in (0, 1):  # every other window of a stretch: these don't overlap
+            mine = which[self.number[which] % 2 == odd]
+            for k in range(0, len(mine), BATCH):
+                part = mine[k : k + BATCH]
+                r, n = self.run[part], self.number[part]
+                spot, there = self.places(part)
+                e, _ = self.net.emissions(np.where(there, self.line[np.minimum((self.start - self.edge[:-1])[r][None, :] + spot, len(self.line) - 1)], 0))
+                left = np.where(n[None, :] > 0, inside + 1, WIDTH)
+                right = np.where(n[None, :] + 1 < self.windows[r][None, :], WIDTH - inside, WIDTH)
+                deep = np.minimum(np.minimum(left, right), OVERLAP).astype(np.float32)
+                at = spot[there]
+                self.total[at] += (e * deep[:, :, None])[there]
+                self.weight[at] += deep[there]
+        self.done[which] = True
+
+    def outputs(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The mean of the windows that hold a character."""
+        return self.total[at] / self.weight[at, None]
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """The windows, one or two each, that hold the characters at these places."""
+        r = np.searchsorted(self.edge, at, "right") - 1
+        spot = at - self.edge[r]
+        last, first = np.minimum(spot // STRIDE, self.windows[r] - 1), np.maximum((spot - WIDTH) // STRIDE + 1, 0)
+        return np.unique(np.concatenate([self.begin[r] + first, self.begin[r] + last]))
+
+
 def outputs(net: Net, line: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The network's outputs for the characters of the stretches, one after the other: the mean of the windows that hold a
     character, weighted by how deep it stands in each."""
-    stride, sizes = WIDTH - OVERLAP, end - start
-    edge = np.concatenate([[0], np.cumsum(sizes)])
-    total, weight = np.zeros((edge[-1], LABELS), np.float32), np.zeros(edge[-1], np.float32)
-    windows = np.maximum(1, -(-(sizes - OVERLAP) // stride))
-    run = np.repeat(np.arange(len(sizes)), windows)
-    number = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
-    inside = np.arange(WIDTH)[:, None]
-    for odd in (0, 1):  # every other window of a stretch: these don't overlap
-        mine = np.flatnonzero(number % 2 == odd)
-        for k in range(0, len(mine), BATCH):
-            r, n = run[mine[k : k + BATCH]], number[mine[k : k + BATCH]]
-            spot = (n * stride)[None, :] + inside
-            there = spot < sizes[r][None, :]
-            e, _ = net.emissions(np.where(there, line[np.minimum(start[r][None, :] + spot, len(line) - 1)], 0))
-            left = np.where(n[None, :] > 0, inside + 1, WIDTH)
-            right = np.where(n[None, :] + 1 < windows[r][None, :], WIDTH - inside, WIDTH)
-            deep = np.minimum(np.minimum(left, right), OVERLAP).astype(np.float32)
-            at = (edge[r][None, :] + spot)[there]
-            total[at] += (e * deep[:, :, None])[there]
-            weight[at] += deep[there]
-    return total / weight[:, None]
-
-
-def tag(net: Net, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(row, kind, start, end) of runs of one label, over all rows of a flat buffer."""
+    every = Windows(net, line, start, end)
+    every.read(np.arange(len(every.run)))
+    return every.outputs()
+
+
+def labels_around(net: Net, line: np.ndarray, start: np.ndarray, end: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """``net.labels`` of the stretches' outputs, but 0 in the runs between two settled zeros in which no place of ``need``
+    (in order) stands. Windows are read from those places outwards, until each run that holds one is closed by
+    characters that are 0 whatever the network says beyond the windows read; so the labels are those of reading all."""
+    some = Windows(net, line, start, end)
+    edge, run, number = some.edge, some.run, some.number
+    label, whole = np.zeros(edge[-1], np.uint8), np.zeros(len(some.sizes), bool)
+    row = np.searchsorted(edge, need, "right") - 1
+    new = some.of(np.concatenate([np.maximum(need - CONTEXT, edge[row]), np.minimum(need + CONTEXT, edge[row + 1] - 1)]))
+    while len(new):
+        some.read(new)
+        done = np.flatnonzero(some.done & ~whole[run])
+        cut = np.flatnonzero((np.diff(done) != 1) | (np.diff(run[done]) != 0)) + 1
+        first, last = done[np.append(0, cut)], done[np.append(cut, len(done)) - 1]  # windows side by side
+        fresh = np.searchsorted(new, first) < np.searchsorted(new, last, "right")
+        far = fresh & (last - first >= FAR)
+        whole[run[first[far]]] = True  # a row of many needed characters is read as a whole
+        mine = fresh & ~whole[run[first]]
+        first, last = first[mine], last[mine]
+        if not len(first):
+            break
+        # The characters for which no window is missing.
+        head, tail = number[first] == 0, number[last] + 1 == some.windows[run[last]]
+        low = edge[run[first]] + np.where(head, 0, number[first] * STRIDE + OVERLAP)
+        high = np.where(tail, edge[run[last] + 1], edge[run[last]] + (number[last] + 1) * STRIDE)
+        bounds = np.concatenate([[0], np.cumsum(high - low)])
+        at = np.arange(bounds[-1]) + np.repeat(low - bounds[:-1], high - low)
+        path, zero = net.settled(some.outputs(at), bounds, head, tail)
+        open_ = np.flatnonzero(~zero)
+        group = np.searchsorted(bounds, open_, "right") - 1
+        cut = np.flatnonzero((np.diff(open_) != 1) | (np.diff(group) != 0)) + 1
+        a, b = np.append(0, cut)[: len(open_)], np.append(cut, len(open_))[: len(open_)] - 1
+        held = np.searchsorted(need, at[open_[a]]) < np.searchsorted(need, at[open_[b]], "right")
+        a, b = a[held], b[held]
+        group = group[a]
+        left = (open_[a] == bounds[group]) & ~head[group]
+        right = (open_[b] + 1 == bounds[group + 1]) & ~tail[group]
+        for i, j in zip(open_[a[~left & ~right]], open_[b[~left & ~right]] + 1, strict=True):
+            label[at[i] : at[i] + j - i] = path[i:j]
+        new = np.unique(np.concatenate([first[group[left]] - 1, last[group[right]] + 1]))
+    if whole.any():
+        some.read(np.flatnonzero(whole[run] & ~some.done))
+        rows = np.flatnonzero(whole)
+        bounds = np.concatenate([[0], np.cumsum(some.sizes[rows])])
+        at = np.arange(bounds[-1]) + np.repeat(edge[rows] - bounds[:-1], some.sizes[rows])
+        label[at] = net.labels(some.outputs(at), bounds)
+    return label
+
+
+def needed(data: np.ndarray) -> np.ndarray:
+    """Bytes of which each span that ``plausible`` lets through holds one: digits, @, and the word "at"."""
+    out = ((data >= 48) & (data < 58)) | (data == 64)
+    if len(data) >= 4:
+        low = LOWER[data]
+        word = ((low >= 97) & (low < 123)) | out
+        out[1:-2] |= (low[1:-2] == 97) & (low[2:-1] == 116) & ~word[:-3] & ~word[3:]
+    return out
+
+
+def tag(net: Net, data: np.ndarray, at: np.ndarray, need: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
+    """(row, kind, start, end) of runs of one label, over all rows of a flat buffer. With ``need``, which marks bytes, at
+    least of those runs that hold such a byte."""
     lead = (data & 0xC0) != 0x80
     place = np.zeros(len(data) + 1, np.int64)
     np.cumsum(lead, out=place[1:])
@@ -455,7 +580,8 @@ def tag(net: Net, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int,
         return []
     start, end = bounds[:-1][row], bounds[1:][row]
     edge = np.concatenate([[0], np.cumsum(end - start)])
-    label = net.labels(outputs(net, _CLASS[data[lead]], start, end), edge)
+    line = _CLASS[data[lead]]
+    label = net.labels(outputs(net, line, start, end), edge) if need is None else labels_around(net, line, start, end, place[np.flatnonzero(need)])
     on = np.flatnonzero(label)
     if not len(on):
         return []
@@ -513,7 +639,7 @@ def _finding(net: Net):
                 piece = data[at[i] : at[j]]
                 bounds = at[i : j + 1] - at[i]
                 found: dict[int, list] = {}
-                for r, kind, a, b in tag(net, piece, bounds):
+                for r, kind, a, b in tag(net, piece, bounds, needed(piece)):
                     found.setdefault(r, []).append((kind, a, b))
                 marks = np.zeros(len(piece) + 1, np.int64)
                 np.cumsum(digit[piece], out=marks[1:])
