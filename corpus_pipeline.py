@@ -9,14 +9,27 @@ all. Null texts are rejected by the first stage. Empty tables go through as such
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm import decontam, exact, jaccard, language, mixing
-from vectide.llm.common import forget, keep, near_texts, table
+from vectide.llm.common import forget, keep, near_texts, shrink_heaps, table
 from vectide.plans.store import scratch
 
 
+def _lean(stage):
+    """``stage``, begun with executors whose heaps hold no more than they need, whatever ran before."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shrink_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _without(spark: SparkSession, docs: DataFrame, dropped: DataFrame, mark: Column, repeated: DataFrame | None = None) -> DataFrame:
     """``docs`` but for the rows whose doc_id and ``mark`` are in ``dropped`` (id, mark), and with one row for each in
     ``repeated``. Both are written first, so that their size is known; few enough go to the rows."""
@@ -33,11 +46,13 @@ def _without(spark: SparkSession, docs: DataFrame, dropped: DataFrame, mark: Col
     return alone.unionByName(met(repeated, "left_semi").dropDuplicates(["id", "mark"])).select("row.*")
 
 
+@_lean
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows whose text has no letter or no language at a score of one half."""
     return language.accepted(spark, docs)
 
 
+@_lean
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays, once."""
     found = keep(spark, exact.exact_duplicates(spark, docs).select(F.col("doc_id").alias("id"), F.xxhash64("text_sha256").alias("mark"), "kept"), "found")
@@ -46,6 +61,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(spark, docs, found.filter("not kept").drop("kept"), mark, repeated)
 
 
+@_lean
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the row with the smallest doc_id stays, once; of several texts of that id, one."""
     found = jaccard.jaccard_components(spark, docs)[0].filter("component is not null").select("component", F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), "mark").alias("row"))
@@ -56,12 +72,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _without(spark, docs, several.filter("not kept").drop("kept"), jaccard.mark_of(F.col("text")), repeated)
 
 
+@_lean
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows in which a benchmark window occurs."""
     found = decontam.contamination(spark, docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
     return _without(spark, docs, found.select(F.col("doc_id").alias("id"), "mark"), jaccard.mark_of(F.col("text")))
 
 
+@_lean
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples rows so that the sample's token shares of source, language and topic meet their targets."""
     return mixing.sample(spark, docs)

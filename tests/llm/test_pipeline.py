@@ -118,3 +118,25 @@ def test_no_shared_folder_is_an_error_on_a_cluster(monkeypatch, spark):
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
     with pytest.raises(ValueError, match="checkpoint"):
         store.shared_dir(cluster)
+
+
+def test_stages_begin_with_lean_heaps(spark, monkeypatch):
+    """Garbage in the executors' heaps goes, and each stage sees to it before anything else."""
+    from vectide.llm.common import shrink_heaps
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    old = [b for b in beans if any(x in b.getName() for x in ("Old", "MarkSweep"))]
+    before = sum(b.getCollectionCount() for b in old)
+    shrink_heaps(spark)
+    assert old and sum(b.getCollectionCount() for b in old) > before
+
+    class Begun(Exception):
+        pass
+
+    def begun(_):
+        raise Begun
+
+    monkeypatch.setattr(corpus_pipeline, "shrink_heaps", begun)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Begun):
+            stage(spark, None, "")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vectide.plans.ship import ship
 from vectide.plans.store import forget, keep, shared_dir
 
-__all__ = ["flat", "forget", "in_arrow", "keep", "mix", "sampled", "shared_dir", "span_hashes", "steps", "table", "words"]
+__all__ = ["flat", "forget", "in_arrow", "keep", "mix", "sampled", "shared_dir", "shrink_heaps", "span_hashes", "steps", "table", "words"]
 
 #: Bytes of text that one numpy step handles; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
@@ -66,6 +66,14 @@ def release() -> None:
         trim(0)
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Have each executor collect its garbage, so that its heap gives unused memory back to the system: a heap that grew to
+    its limit stays there, beside what later work takes outside of it. One task an executor, as they are dealt out in turn
+    when all are idle; where a task misses an executor, that one's heap stays as it is."""
+    executors = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # without the driver
+    spark.range(0, executors, 1, executors).selectExpr("java_method('java.lang.System', 'gc')").collect()
+
+
 def _released(kernel):
     def run(batches):
         try:
